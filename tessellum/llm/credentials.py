@@ -61,11 +61,15 @@ def candidates(text: str | None) -> list[tuple[str, int, int, int, str]]:
     return sorted(out, key=lambda x: (x[1], rank(x[0])))
 
 
-@F.pandas_udf(FOUND)
-def find_candidates(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def find_candidates(text: Column) -> Column:
     names = ("kind", "start", "end", "value_start", "value")
-    for batch in texts:
-        yield pd.Series([[dict(zip(names, c, strict=True)) for c in candidates(t)] for t in batch], dtype=object)
+
+    @F.pandas_udf(FOUND)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([[dict(zip(names, c, strict=True)) for c in candidates(t)] for t in batch], dtype=object)
+
+    return run(text)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -117,9 +121,10 @@ def digest(scanned: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example) of scan()'s rows."""
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     n = lambda f: F.size(F.filter("spans", f)).cast("long")
+    of_kind = lambda k: lambda s: s["kind"] == k
     return scanned.select(
         "doc_id",
-        *[n(lambda s, k=k: s["kind"] == k).alias(f"n_{k}") for k in BASE],
+        *[n(of_kind(k)).alias(f"n_{k}") for k in BASE],
         F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(F.col("spans")).alias("spans"),
         n(lambda s: s["live"]).alias("n_live"),

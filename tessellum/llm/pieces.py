@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -150,7 +151,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", *, model: str = MODEL, text
     known = encoded.sparkSession.sparkContext.broadcast(Vocabulary.read(model))
 
     @F.pandas_udf("string")
-    def run(batches: Iterator) -> Iterator:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(lambda ids: None if ids is None else known.value.decode(list(ids)))
 
