@@ -10,10 +10,11 @@ budget has errors, any pair within the budget agrees on a whole slice, so the wa
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ def _mixed(h: np.ndarray, word: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprints(texts: pd.Series, words: int, width: int) -> np.ndarray:
+def fingerprints(texts: Sequence[str | None], words: int, width: int) -> np.ndarray:
     """One row of `width` unsigned 64-bit numbers for each text."""
     out = np.zeros((len(texts), width), np.uint64)
     rows: list[int] = []
@@ -91,16 +92,19 @@ def fingerprints(texts: pd.Series, words: int, width: int) -> np.ndarray:
     return out
 
 
-def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, width: int) -> DataFrame:
-    """(doc_id long, fp array of `width` longs), a row for each row of docs."""
+def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, width: int, keep: str | None = None) -> DataFrame:
+    """(doc_id long, the long column keep, fp array of `width` longs), a row for each row of docs."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fp = fingerprints(batch["text"], words, width).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": list(fp)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                fp = fingerprints(batch["text"].to_pylist(), words, width).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1) * width, pa.int32()), pa.array(fp.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*batch.schema.names[:-1], "fp"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInPandas(run, "doc_id long, fp array<long>")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[keep] * (keep is not None), F.col(text_col).cast("string").alias("text"))
+    return picked.mapInArrow(run, "doc_id long, " + f"{keep} long, " * (keep is not None) + "fp array<long>")
 
 
 def slices(width: int, count: int) -> list[tuple[int, int, int]]:
@@ -185,12 +189,13 @@ def union(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def _linked(group: pd.DataFrame, budget: int) -> pd.DataFrame:
+def _linked(group: pa.Table, budget: int) -> pa.Table:
     """The links of a shard's tries, as few as join what is linked: each row to the least of its set."""
-    fp = np.array(group["fp"].tolist(), np.int64).astype(np.uint64) if len(group) else np.zeros((0, 1), np.uint64)
-    trie = group[["table", "key", "left", "right"]].to_numpy(np.int64)
-    second = (group["part"].to_numpy() != group["left"].to_numpy()).astype(np.int64)
-    ids = group["doc_id"].to_numpy(np.int64)
+    column = lambda name: group[name].combine_chunks().to_numpy(zero_copy_only=False)
+    ids = column("doc_id")
+    fp = group["fp"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
+    trie = np.column_stack([column(c).astype(np.int64) for c in ("table", "key", "left", "right")])
+    second = (column("part") != column("left")).astype(np.int64)
     order = np.lexsort((*[fp[:, w] for w in range(fp.shape[1] - 1, -1, -1)], second, trie[:, 3], trie[:, 2], trie[:, 1], trie[:, 0]))
     fp, trie, second, ids = fp[order], trie[order], second[order], ids[order]
     new = np.ones(len(ids), bool)
@@ -202,13 +207,17 @@ def _linked(group: pd.DataFrame, budget: int) -> pd.DataFrame:
     a = np.column_stack([lo, mid])
     b = np.where(alone[:, None], a, np.column_stack([mid, hi]))
     keep = (b[:, 1] > b[:, 0]) & (a[:, 1] > a[:, 0])
-    label = walk(fp, a[keep], b[keep], budget, np.arange(len(ids)))
-    moved = np.flatnonzero(label != np.arange(len(ids)))
-    return pd.DataFrame({"a": ids[moved], "b": ids[label[moved]]})
+    # a class stands in many tries of the shard: all its places are one label from the start
+    _, first, same = np.unique(ids, return_index=True, return_inverse=True)
+    least = np.full(len(first), len(ids))
+    np.minimum.at(least, same, np.arange(len(ids)))
+    label = walk(fp, a[keep], b[keep], budget, least[same])
+    ends = pa.table({"a": ids, "b": ids[label]})
+    return ends.filter(pc.not_equal(ends["a"], ends["b"])).group_by(["a", "b"]).aggregate([])
 
 
-def trie_links(classes: DataFrame, width: int, budget: int, per_word: int, total: int) -> DataFrame:
-    """Links (a, b) between classes (doc_id, fp) whose fingerprints differ in at most `budget` bits.
+def trie_links(classes: DataFrame, width: int, compare: int, budget: int, per_word: int, total: int) -> DataFrame:
+    """Links (a, b) between classes (id, fp) whose fingerprints differ in at most `budget` of the first `compare` words' bits.
 
     They are spanning links: what is linked within the tries is joined by them, without listing each pair.
     total: the number of classes, for the number of groups. A slice value that many classes share is dealt
@@ -216,40 +225,66 @@ def trie_links(classes: DataFrame, width: int, budget: int, per_word: int, total
     """
     cut = slices(width, per_word)
     keys = F.array(*[F.shiftrightunsigned(F.col("fp")[w], shift).bitwiseAND(F.lit((1 << bits) - 1)) for w, shift, bits in cut])
-    points = classes.select("doc_id", "fp", F.posexplode(keys).alias("table", "key"))
+    points = classes.select(F.col("id").alias("doc_id"), F.slice("fp", 1, compare).alias("fp"), F.posexplode(keys).alias("table", "key"))
     full = points.groupBy("table", "key").count().where(F.col("count") > TILE).withColumn("parts", F.ceil(F.col("count") / TILE)).drop("count")
     points = points.join(full, ["table", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     points = points.withColumn("part", F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts")))
     points = points.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     points = points.withColumn("left", F.least("part", "with")).withColumn("right", F.greatest("part", "with"))
     shards = max(1, math.ceil(total * len(cut) / SHARD))
-    points = points.withColumn("shard", F.pmod(F.xxhash64("table", "key", "left", "right"), F.lit(shards)))
-    points = points.select("shard", "table", "key", "left", "right", "part", "doc_id", "fp")
-    return points.groupBy("shard").applyInPandas(lambda group: _linked(group, budget), "a long, b long").distinct()
+    points = points.withColumn("shard", F.pmod(F.xxhash64("table", "key", "left", "right"), F.lit(shards)).cast("int"))
+    points = points.select("shard", "table", "key", F.col("left").cast("int"), F.col("right").cast("int"), F.col("part").cast("int"), "doc_id", "fp")
+    return points.groupBy("shard").applyInArrow(lambda group: _linked(group, budget), "a long, b long").distinct()
+
+
+def _components(classes: DataFrame, width: int, compare: int | None, budget: int, per_word: int) -> DataFrame:
+    """classes (id, fp, ...) with the component of each; an id names one class. A class without links, or a null id, is its own."""
+    known = classes.where("id is not null").select("id", "fp")
+    links = trie_links(known, width, compare or width, budget, per_word, known.count())
+    found = connected_components(links).withColumnRenamed("id", "linked")
+    return classes.join(found, classes["id"] == found["linked"], "left").withColumn("component", F.coalesce("component", "id")).drop("linked")
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 4, width: int = 1, budget: int = 4, per_word: int = 5
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 4, width: int = 1, compare: int | None = None, budget: int = 4, per_word: int = 5
 ) -> DataFrame:
     """(doc_id long, fp array of longs, component_id long), a row for each row of docs.
 
-    words: shingle length; width: 64-bit words of the fingerprint; budget: differing bits of a link; per_word:
-    tries rooted in each 64-bit word. per_word * width > budget makes the join exact.
+    words: shingle length; width: 64-bit words of the fingerprint; compare: how many of them are compared, all if
+    None; budget: differing bits of a link; per_word: tries rooted in each 64-bit word. If all are compared and
+    per_word * width > budget, the join is exact; else tries that two close fingerprints don't share may miss them.
     A null or blank text has fingerprint zero and is linked like any other; a text with fewer words than a
     shingle is one shingle. Repeated rows each get their row. A row with a null id takes the component of the
-    equal fingerprints, or null if none of those has an id. An empty table gives an empty one. Columns other
-    than the two named are not read.
+    equal fingerprints, or null if none of those has an id. Ids are taken to name one text: if one stands on several
+    texts, its rows are linked. An empty table gives an empty one. Columns other than the two named are not read.
     """
     each = checkpointed(with_fingerprints(docs, id_col, text_col, words, width))
-    classes = checkpointed(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    known = classes.where("least is not null").select(F.col("least").alias("doc_id"), "fp")
-    links = trie_links(known, width, budget, per_word, known.count())
-    components = connected_components(links)
-    found = classes.join(components, classes["least"] == components["id"], "left")
-    found = found.select(F.col("fp").alias("class_fp"), F.coalesce("component", "least").alias("component_id"))
+    classes = checkpointed(each.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    found = _components(classes, width, compare, budget, per_word).select(F.col("fp").alias("class_fp"), F.col("component").alias("component_id"))
     return each.join(found, each["fp"] == found["class_fp"]).select("doc_id", "fp", "component_id")
 
 
+def without_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, width: int = 12, compare: int | None = 4, budget: int = 46, per_word: int = 4
+) -> DataFrame:
+    """The rows of docs, all columns, that stand for their group of near-duplicates: of each group the least id, null last.
+
+    The default finds texts with a Jaccard similarity of 0.8 or more of their five-word shingles: such fingerprints
+    differ in 39 of 256 bits, about (46 is the 95th percentile), and two of them share one of 48 slices of 16 bits
+    with a probability of 0.97; fewer slices would miss more. Null and blank texts are one group, repeated rows are
+    one row. Rows are told apart by id and text, so an id may stand on several texts.
+    """
+    text, key = F.coalesce(F.col(text_col).cast("string"), F.lit("")), "_row_hash"
+    marked = docs.withColumn(key, F.xxhash64(F.col(id_col), text))
+    each = with_fingerprints(marked, id_col, text_col, words, width, keep=key)
+    # the hash names a class, as it tells rows with one id apart
+    classes = checkpointed(each.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)).alias("least")))
+    classes = classes.withColumn("id", F.col(f"least.{key}"))
+    stays = _components(classes, width, compare, budget, per_word).groupBy("component").agg(F.min("least").alias("least"))
+    stays = stays.select(F.col(f"least.{key}").alias(key))
+    return marked.join(stays, key, "left_semi").dropDuplicates([key]).drop(key).select(*[f"`{c}`" for c in docs.columns])
+
+
 def fingerprint_hex(fp: Column) -> Column:
     """The first word as 16 hex digits."""
     return F.lower(F.lpad(F.hex(fp[0]), 16, "0"))
