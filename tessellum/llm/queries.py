@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm import credentials, langid, licenses, lm, mixing, pieces, quality, simhash, urls
+from tessellum.llm import credentials, langid, licenses, lm, media, mixing, pieces, quality, simhash, urls
 from tessellum.llm.common import crc_mod, documents
 
 
@@ -36,6 +36,11 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "ids", "n_tokens", "exact", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has sound, so each document's bytes are taken as a recording of 8-bit samples; ids divisible by 20 are the queries."""
+    return media.search(documents(spark, sf_dir).select("doc_id", F.col("text").cast("binary").alias("media")))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-word shingles, 64 bits, links at four or fewer differing bits."""
     found = simhash.near_duplicates(documents(spark, sf_dir), words=4, width=1, budget=4, per_word=5)
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_urls": op2_urls,
     "op3_mixing": op3_mixing,
     "op4_pieces": op4_pieces,
+    "op5_media": op5_media,
     "op6_simhash": op6_simhash,
     "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
