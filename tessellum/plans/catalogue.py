@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from tessellum.plans import search
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES}
+ORACLE_SQL: dict[str, str] = {**search.ORACLE_SQL}
+FLAGSHIP = "bm25_topk"
