@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellum.plans import evidence, search
+from tessellum.plans import analytics, evidence, search
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES, **evidence.QUERIES}
-ORACLE_SQL: dict[str, str] = {**search.ORACLE_SQL, **evidence.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES, **evidence.QUERIES, **analytics.QUERIES}
+ORACLE_SQL: dict[str, str] = {**search.ORACLE_SQL, **evidence.ORACLE_SQL, **analytics.ORACLE_SQL}
 FLAGSHIP = "bm25_topk"
