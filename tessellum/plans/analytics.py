@@ -153,7 +153,7 @@ ORACLE_SQL: dict[str, str] = {
     "cost_total": f"WITH {_T} SELECT {_COST} AS total_cents FROM t",
     "class_groups": f"""WITH {_T}, g AS (SELECT class, count(*) AS n, {_COST} AS total_cents FROM t GROUP BY class)
 SELECT class, n, total_cents, floor(total_cents * 100 / (SELECT sum(total_cents) FROM g) * 100 + 0.5) / 100 AS percent FROM g""",
-    "takeoff_filter": f"WITH {_T} SELECT l_orderkey, l_linenumber, description, class, room FROM t WHERE room = 'Brand#1' AND contains(lower(concat_ws(' ', description, class, room)), 'part')",
+    "takeoff_filter": f"WITH {_T} SELECT l_orderkey, l_linenumber, description, class, room FROM t WHERE room = 'Brand#1' AND contains(lower(concat_ws(' ', description, class, room)), 'ring')",
     "takeoff_rank": f"""WITH {_T} SELECT room, place, l_orderkey, l_linenumber FROM (SELECT *, CAST(row_number() OVER (PARTITION BY room ORDER BY takeoff_cost DESC NULLS LAST, l_orderkey, l_linenumber) AS INT) AS place FROM t) WHERE place <= 5""",
     "facets": "SELECT DISTINCT 'class' AS facet, p_type AS value FROM part JOIN lineitem ON l_partkey = p_partkey UNION SELECT DISTINCT 'room', p_brand FROM part JOIN lineitem ON l_partkey = p_partkey",
     "cost_aggregate": f"""WITH {_T} SELECT class, count(*) AS n, count(takeoff_cost) AS n_estimates,

@@ -120,3 +120,14 @@ def test_stream_of_changes_equals_the_table(spark, tmp_path):
     q.awaitTermination()
     want = sorted(map(tuple, changes.changes(df, "k", ["n"], "v").collect()), key=repr)
     assert sorted(map(tuple, spark.sql("SELECT k, n, v FROM changed").collect()), key=repr) == want == sorted([rows[i] for i in (0, 2, 3, 5, 6)], key=repr)
+
+
+def test_page_elements_and_xml_of_odd_rows(spark):
+    from tessellum.operators import ingest
+
+    html = '<script>var t="<p>no</p>";</script><p class="a">One <b>two</b></p><P>three</P><p></p><!-- <li>no</li> --><pre>no</pre><li>x\ny</li>'
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "id long, html string")
+    got = sorted(tuple(r) for r in ingest.page_elements(pages, "id", "html").collect())
+    assert got == [(1, "list_item", 0, "x y"), (1, "paragraph", 0, "One two")]
+    docs = spark.createDataFrame([(1, "<a><Name>x</Name></a>"), (2, "<a><Na"), (3, None), (4, '<m:a xmlns:m="u"><m:Name>y</m:Name></m:a>')], "id long, xml string")
+    assert sorted((r.id, r.value) for r in ingest.xml_fields(docs, "id", "xml", {"name": "Name"}).collect()) == [(1, "x"), (4, "y")]
