@@ -70,7 +70,7 @@ ORACLE_SQL: dict[str, str] = {
 UNION ALL SELECT c_custkey, 'segment', c_mktsegment, 1 FROM customer WHERE c_custkey % 10 <> 0""",
     "citations_topn": f"SELECT query_id, rank AS place, id, substr(text, 1, 500) AS excerpt FROM ({_HITS}) JOIN documents ON doc_id = id WHERE rank <= 5",
     "citation_confidence": f"""WITH h AS ({_HITS}), n AS (SELECT item_id AS query_id, count(h.id) AS n FROM benchmark LEFT JOIN h ON item_id = query_id AND rank <= 5 GROUP BY item_id)
-SELECT query_id, CASE WHEN n = 0 THEN 0.3 WHEN n <= 2 THEN 0.7 ELSE 0.9 END AS confidence, n = 0 AS needs_review FROM n""",
+SELECT query_id, CAST(CASE WHEN n = 0 THEN 0.3 WHEN n <= 2 THEN 0.7 ELSE 0.9 END AS DOUBLE) AS confidence, n = 0 AS needs_review FROM n""",
     "agent_confidence": f"SELECT doc_id, round(least(avg(confidence), min(confidence) FILTER (field <> 'priority')), 6) AS confidence FROM ({evidence.ORACLE_SQL['merge_tiers']}) GROUP BY doc_id",
     "cost_variance": """WITH l AS (SELECT l_orderkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS a FROM lineitem GROUP BY l_orderkey), o AS (SELECT o_orderkey, a, CAST(round(o_totalprice * 100) AS BIGINT) AS p FROM orders JOIN l ON o_orderkey = l_orderkey)
 SELECT o_orderkey, CAST(a - p AS BIGINT) AS variance, CASE WHEN p = 0 THEN 0 ELSE floor(CAST(a - p AS DOUBLE) * 100 / p + 0.5) END AS percent FROM o""",
