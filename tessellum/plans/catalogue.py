@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellum.plans import analytics, evidence, ingest, search
+from tessellum.plans import analytics, evidence, forms, ingest, search
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES, **evidence.QUERIES, **analytics.QUERIES, **ingest.QUERIES}
-ORACLE_SQL: dict[str, str] = {**search.ORACLE_SQL, **evidence.ORACLE_SQL, **analytics.ORACLE_SQL, **ingest.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES, **evidence.QUERIES, **analytics.QUERIES, **ingest.QUERIES, **forms.QUERIES}
+ORACLE_SQL: dict[str, str] = {**search.ORACLE_SQL, **evidence.ORACLE_SQL, **analytics.ORACLE_SQL, **ingest.ORACLE_SQL, **forms.ORACLE_SQL}
 FLAGSHIP = "bm25_topk"
