@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -79,14 +80,20 @@ COUNTED = ("property_address", "appraisal_date", "total_value", "land_value", "b
 TOTAL = 25
 
 
+def _only(value: Column, holds: Callable[[Column], Column]) -> Column:
+    """value where holds(value), else null; value is computed once a row, as a lambda's variable is bound."""
+    return F.get(F.filter(F.array(value), holds), F.lit(0))
+
+
 def _read(rule: Rule, text: Column, pattern: str) -> Column:
     # (?d): only \n ends a line, as the patterns mean it
-    found = F.nullif(F.trim(F.regexp_extract(text, ("(?i)" if rule.any_case else "") + "(?d)" + pattern, 1)), F.lit(""))
+    found = _only(F.trim(F.regexp_extract(text, ("(?i)" if rule.any_case else "") + "(?d)" + pattern, 1)), lambda v: v != "")
     if rule.kind in ("double", "bigint"):
         found = F.replace(found, F.lit(","), F.lit("")).try_cast(rule.kind)
     elif rule.kind != "text":
         found = {"title": F.initcap, "upper": F.upper}[rule.kind](found)
-    return F.when(found.between(*rule.within), found) if rule.within else found
+    within = rule.within
+    return _only(found, lambda v: v.between(*within)) if within else found
 
 
 def report_fields(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
