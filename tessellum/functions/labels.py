@@ -42,3 +42,30 @@ def valid_date(text: Column) -> Column:
     """Whether a date can be read in one of four formats."""
     read = [F.try_to_timestamp(text, F.lit(f)) for f in ("M/d/yyyy", "M-d-yyyy", "yyyy-M-d", "d/M/yyyy")]
     return F.coalesce(*read).isNotNull()
+
+
+#: Categories of labels and the words that a label of the category contains.
+CATEGORIES = {
+    "cabinet": ("cabinet", "cupboard", "storage", "drawer", "shelf"),
+    "appliance": ("appliance", "refrigerator", "fridge", "oven", "stove", "range", "dishwasher", "microwave", "washer", "dryer"),
+    "lighting": ("light", "lighting", "lamp", "fixture", "chandelier", "sconce", "recessed"),
+    "flooring": ("floor", "flooring", "tile", "carpet", "hardwood", "vinyl", "laminate"),
+    "countertop": ("counter", "countertop", "surface", "worktop", "granite", "quartz"),
+    "sink": ("sink", "basin", "faucet"),
+    "toilet": ("toilet", "commode"),
+    "tub": ("tub", "bathtub", "shower"),
+    "window": ("window", "glass", "pane"),
+    "door": ("door", "entry", "entrance"),
+    "hvac": ("hvac", "ac", "air conditioner", "vent", "duct", "furnace"),
+    "electrical": ("electrical", "outlet", "switch", "panel", "breaker"),
+    "plumbing": ("plumbing", "pipe", "valve", "water heater"),
+}
+
+
+def related(a: Column, b: Column) -> Column:
+    """One label contains the other, or both contain a word of one category, in any case; false if one is null."""
+    a, b = F.lower(a), F.lower(b)
+    found = a.contains(b) | b.contains(a)
+    for words in CATEGORIES.values():
+        found = found | (a.rlike("|".join(words)) & b.rlike("|".join(words)))
+    return F.coalesce(found, F.lit(False))

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellum.functions.text import simple_tokens
@@ -94,3 +94,9 @@ def hybrid(lexical: DataFrame, vector: DataFrame, k: int, weight: float = 0.5) -
 def expand(hits: DataFrame, chunks: DataFrame, id_col: str) -> DataFrame:
     """Hits with their chunk's columns; ids that no chunk has are dropped."""
     return hits.join(chunks.withColumnRenamed(id_col, "id"), "id")
+
+
+def unit(vector: Column) -> Column:
+    """A vector at length 1; null if it has no length."""
+    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return F.when(length > 0, F.transform(vector, lambda x: x.cast("double") / length))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellum.functions import codes, labels
-from tessellum.operators import forms, layout
+from tessellum.operators import forms, layout, search
 
 WORDS = [w for label, words in labels.SYNONYMS.items() for w in (label, *words)]
 CRITICAL = ["property_address", "total_value", "year_built"]
@@ -115,6 +115,18 @@ def label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "same", "v.label", "v.agreed")
 
 
+def label_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G14."""
+    a, b = F.concat(F.lit("Wall "), F.upper(_word("vec_id"))), F.concat(_word("vec_id * 5 + label"), F.lit(" set"))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", labels.related(a, b).alias("related"))
+
+
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scaled vectors, three of their values each."""
+    v = F.transform("embedding", lambda x: x.cast("double") * (F.col("label") + 1))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", search.unit(v).alias("v")).select("vec_id", *[F.round(F.col("v")[i], 5).alias(f"v{i}") for i in (0, 1, 63)])
+
+
 def relative_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes in pixels and in parts of an image."""
     e = lambda i: F.abs(F.col("embedding")[i].cast("double")) * F.when(F.col("vec_id") % 2 == 0, 400.0).otherwise(1.0)
@@ -130,7 +142,7 @@ def valid_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select(form.alias("form"), labels.valid_date(text).alias("valid")).groupBy("form", "valid").agg(F.count("*").alias("n"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (code_tokens, token_dispatch, repaired_text, report_fields, field_rows, paragraphs, section_paths, label_match, relative_boxes, valid_dates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (code_tokens, token_dispatch, repaired_text, report_fields, field_rows, paragraphs, section_paths, label_match, label_related, unit_vectors, relative_boxes, valid_dates)}
 
 
 def _tokens_sql(text: str) -> str:
@@ -180,6 +192,8 @@ for _pattern, _by in codes.REPAIRS:
     _REPAIR = f"regexp_replace({_REPAIR}, '{_pattern}', '{_by.replace('$', chr(92))}', 'g')"
 _LIST = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
 _SETS = " OR ".join(f"(a IN {s} AND b IN {s})" for s in [str((label, *words)) for label, words in labels.SYNONYMS.items()])
+_HAS = lambda x, words: "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
+_RELATED = " OR ".join(f"({_HAS('a', w)} AND {_HAS('b', w)})" for w in labels.CATEGORIES.values())
 ORACLE_SQL: dict[str, str] = {
     "code_tokens": f"SELECT p_partkey, array_to_string({_tokens_sql('text')}, '|') AS tokens, CAST(len(regexp_extract_all(text, '{codes.CLASS}')) AS INT) AS classes, true AS cites FROM (SELECT p_partkey, {_CODED} AS text FROM part)",
     "token_dispatch": f"SELECT doc_id, CAST(len(CASE WHEN doc_id % 2 = 0 THEN {_tokens_sql('t')} ELSE {_plain_sql('t')} END) AS INT) AS n_tokens FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
@@ -197,6 +211,10 @@ SELECT doc_id, seq, coalesce((SELECT string_agg(text, '/' ORDER BY seq) FROM (SE
 AND h.seq >= coalesce((SELECT max(k.seq) FROM e k WHERE k.doc_id = o.doc_id AND k.seq <= o.seq AND k.t = 'title'), 0) ORDER BY h.seq DESC LIMIT 3)), '') AS path FROM e o""",
     "label_match": f"""WITH w AS (SELECT vec_id, label AS n, concat(upper({_LIST}[CAST(vec_id % {len(WORDS)} AS INT) + 1]), CASE WHEN vec_id % 3 = 0 THEN ' door' ELSE '' END) AS la, {_LIST}[CAST((vec_id * 5 + label) % {len(WORDS)} AS INT) + 1] AS b FROM embeddings), v AS (SELECT *, lower(la) AS a FROM w)
 SELECT vec_id, contains(a, b) OR contains(b, a) OR {_SETS} AS same, CASE WHEN n / 10.0 >= 0.67 THEN b ELSE la END AS label, n / 10.0 >= 0.67 AS agreed FROM v""",
+    "label_related": f"""WITH v AS (SELECT vec_id, concat('wall ', {_LIST}[CAST(vec_id % {len(WORDS)} AS INT) + 1]) AS a, concat({_LIST}[CAST((vec_id * 5 + label) % {len(WORDS)} AS INT) + 1], ' set') AS b FROM embeddings)
+SELECT vec_id, contains(a, b) OR contains(b, a) OR {_RELATED} AS related FROM v""",
+    "unit_vectors": """WITH n AS (SELECT vec_id, embedding AS e, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS n FROM embeddings)
+SELECT vec_id, round(e[1] / n, 5)::DOUBLE AS v0, round(e[2] / n, 5)::DOUBLE AS v1, round(e[64] / n, 5)::DOUBLE AS v63 FROM n""",
     "relative_boxes": """WITH e AS (SELECT vec_id, list_transform(embedding[1:4], lambda v: abs(CAST(v AS DOUBLE)) * CASE WHEN vec_id % 2 = 0 THEN 400 ELSE 1 END) AS b FROM embeddings), p AS (SELECT vec_id, b, greatest(b[1], b[2], b[3], b[4]) > 1 AS px FROM e)
 SELECT vec_id, round(CASE WHEN px THEN b[1] / 640 ELSE b[1] END, 6) AS x_min, round(CASE WHEN px THEN b[2] / 480 ELSE b[2] END, 6) AS y_min, round(CASE WHEN px THEN b[3] / 640 ELSE b[3] END, 6) AS x_max, round(CASE WHEN px THEN b[4] / 480 ELSE b[4] END, 6) AS y_max FROM p""",
     "valid_dates": "SELECT o_orderkey % 5 AS form, o_orderkey % 5 < 4 AS valid, count(*) AS n FROM orders GROUP BY ALL",
