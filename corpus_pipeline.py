@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellum.llm import credentials, mixing, pieces, quality, simhash
+from tessellum.llm import credentials, jaccard, mixing, pieces, quality
 from tessellum.llm.common import checkpointed, documents
 
 
@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts with a five-word-shingle similarity of 0.8 or more stays, the one of the least id."""
-    return simhash.without_near_duplicates(docs)
+    return jaccard.without_near_duplicates(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,170 @@
+"""Near-duplicates by the exact Jaccard similarity of their word shingles: a prefix-filtered set-similarity join.
+
+A text is the set of its shingles' XXH64 hashes. All shingles have one order, common ones last. Of two sets of m and n
+shingles whose similarity is t or more
+- prefix: both hold a shingle among the first m - ceil(t * m) + 1 and n - ceil(t * n) + 1 of theirs;
+- length: the smaller has at least t times as many as the larger;
+- position: after the first common one, at places i and j, both have enough left.
+What passes is verified by counting. The order is a matter of cost only, so how common a shingle is comes from a sample.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessellum.llm.common import checkpointed
+from tessellum.llm.components import connected_components
+
+#: Texts sampled, about, at most, and the most common of their shingles that are told apart by their count.
+SAMPLE, COMMON = 20_000, 200_000
+SEED = 42
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles' hashes, sorted; a text with fewer words than a shingle is one, a blank text has none."""
+    split = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
+    if not split:
+        return np.zeros(0, np.int64)
+    joined = b" ".join(split)
+    ends = np.cumsum([len(w) + 1 for w in split])
+    n = max(1, len(split) - words + 1)
+    begins = [0, *ends[: n - 1].tolist()]
+    digest = xxhash.xxh64_intdigest
+    hashes = [digest(joined[a:b], SEED) for a, b in zip(begins, (ends[-n:] - 1).tolist(), strict=True)]
+    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+
+
+def _least(n: int, similarity: float) -> int:
+    """How many of its n shingles a set shares, at least, with one that is similar to it."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def with_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(the long columns doc_id and row, text) -> (doc_id, row, id: a hash of the set, shingles: the sorted set as binary)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                sets = [shingles(x.as_py(), words).tobytes() for x in batch["text"]]
+                ids = np.array([xxhash.xxh64_intdigest(x, SEED) for x in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], pa.array(ids), pa.array(sets, pa.binary())], ["doc_id", "row", "id", "shingles"])
+
+    return docs.mapInArrow(run, "doc_id long, row long, id long, shingles binary")
+
+
+def common_shingles(texts: DataFrame, words: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sorted; counts) of shingles that two texts or more of the sample hold, the COMMON most frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch["shingles"]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64))], ["token"])
+
+    each = max(1, min(32, total // 1000), total // SAMPLE)
+    sample = texts.where(F.pmod(F.xxhash64("row", F.lit("sample")), F.lit(each)) == 0)
+    counted = with_sets(sample, words).select("shingles").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    found = counted.orderBy(F.desc("n"), "token").limit(COMMON).toPandas().sort_values("token")
+    return found["token"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
+
+def prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float) -> DataFrame:
+    """(token, id, place, n): the first shingles of each set of n, in the order of all shingles."""
+    known = sets.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = known.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                out: list[tuple[np.ndarray, ...]] = []
+                keys, at_first = np.unique(batch["id"].to_numpy(), return_index=True)
+                for key, x in zip(keys, batch["shingles"].take(pa.array(at_first)), strict=True):
+                    held = np.frombuffer(x.as_py(), np.int64)
+                    if len(held):
+                        often = np.zeros(len(held), np.int64)
+                        if len(hashes):
+                            found = np.minimum(np.searchsorted(hashes, held), len(hashes) - 1)
+                            often = np.where(hashes[found] == held, counts[found], 0)
+                        k = len(held) - _least(len(held), similarity) + 1
+                        first = held[np.lexsort((held, often))[:k]]
+                        out.append((first, np.full(k, key), np.arange(k), np.full(k, len(held))))
+                if out:
+                    columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+                    arrays = [pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.int32, np.int32), strict=True)]
+                    yield pa.RecordBatch.from_arrays(arrays, ["token", "id", "place", "n"])
+
+    # dealt by shingle once: repeated rows go and buckets are made without another shuffle
+    return sets.select("id", "shingles").mapInArrow(run, "token long, id long, place int, n int").repartition("token").dropDuplicates(["token", "id"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (id, shingles) are similar, by counting."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                x, y = np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar_links(texts: DataFrame, classes: DataFrame, words: int, total: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join what pairs of that similarity join: the ids of classes (id, row), row that of one of its texts.
+
+    Texts that share a prefix shingle are first verified against one of them, so that a large group of near copies is
+    mostly one component; then all pairs are that have a prefix shingle in common and are not yet joined. Sets are made
+    anew where they are needed, as they take more room than the texts.
+    """
+    postings = prefixes(with_sets(texts, words), common_shingles(texts, words, total), similarity)
+    # a bucket's hub is its largest set: a near copy's length is close to it
+    buckets = postings.groupBy("token").agg(F.count("*").alias("size"), F.max(F.struct("n", "id")).alias("hub")).where("size > 1")
+    shared = checkpointed(postings.join(buckets.drop("size"), "token"))
+    needed = classes.join(shared.select("id").distinct(), "id", "left_semi").select("row")
+    held = checkpointed(with_sets(texts.join(needed, "row", "left_semi").select("doc_id", "row", "text"), words).select("id", "shingles").dropDuplicates(["id"]))
+    to_hub = shared.where((F.col("id") != F.col("hub.id")) & (F.col("n") >= similarity * F.col("hub.n") - 1e-9))
+    tried = checkpointed(to_hub.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct())
+    first = checkpointed(verified(tried, held, similarity))
+    joined = connected_components(first).withColumnRenamed("id", "linked")
+    known = shared.drop("hub").join(joined, F.col("id") == F.col("linked"), "left").withColumn("component", F.coalesce("component", "id")).drop("linked")
+    # a bucket that is one component has nothing left to verify
+    open_ = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    known = checkpointed(known.join(open_, "token", "left_semi"))
+    side = lambda s: known.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "place", "n", "component")])
+    overlap = F.ceil(similarity / (1 + similarity) * (F.col("a_n") + F.col("b_n")) - 1e-9)
+    left = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    close = (F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9) & (left >= overlap)
+    pairs = side("a").join(side("b"), "token").where((F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component")) & close)
+    rest = pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    return first.unionByName(checkpointed(verified(rest, held, similarity)))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns, that stand for their group of near-duplicates: of each group the least id, null last.
+
+    Texts whose sets of `words`-word shingles have a Jaccard similarity of `similarity` or more are one group, and so is
+    what such pairs join; no pair is missed and none is an estimate. Null and blank texts are one group, repeated rows
+    are one row. Rows are told apart by id and text, so an id may stand on several texts.
+    """
+    text, key = F.coalesce(F.col(text_col).cast("string"), F.lit("")), "_row_hash"
+    marked = docs.withColumn(key, F.xxhash64(F.col(id_col), text))
+    texts = marked.select(F.col(id_col).cast("long").alias("doc_id"), F.col(key).alias("row"), text.alias("text"))
+    each = with_sets(texts, words)
+    classes = checkpointed(each.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")))
+    found = connected_components(similar_links(texts, classes.select("id", "least.row"), words, classes.count(), similarity)).withColumnRenamed("id", "linked")
+    stays = classes.join(found, classes["id"] == found["linked"], "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("least").alias("least"))
+    stays = stays.select(F.col("least.row").alias(key))
+    return marked.join(stays, key, "left_semi").dropDuplicates([key]).drop(key).select(*[f"`{c}`" for c in docs.columns])

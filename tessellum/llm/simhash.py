@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tessellum.llm.common import checkpointed
 from tessellum.llm.components import connected_components
+from tessellum.llm.jaccard import without_near_duplicates  # noqa: F401  the exact join, also known by this module's name
 
 #: Points of one trie that a task walks at once; a fuller trie is walked as pairs of parts this large.
 TILE = 4096
@@ -264,27 +265,6 @@ def near_duplicates(
     return each.join(found, each["fp"] == found["class_fp"]).select("doc_id", "fp", "component_id")
 
 
-def without_near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, width: int = 12, compare: int | None = 4, budget: int = 46, per_word: int = 4
-) -> DataFrame:
-    """The rows of docs, all columns, that stand for their group of near-duplicates: of each group the least id, null last.
-
-    The default finds texts with a Jaccard similarity of 0.8 or more of their five-word shingles: such fingerprints
-    differ in 39 of 256 bits, about (46 is the 95th percentile), and two of them share one of 48 slices of 16 bits
-    with a probability of 0.97; fewer slices would miss more. Null and blank texts are one group, repeated rows are
-    one row. Rows are told apart by id and text, so an id may stand on several texts.
-    """
-    text, key = F.coalesce(F.col(text_col).cast("string"), F.lit("")), "_row_hash"
-    marked = docs.withColumn(key, F.xxhash64(F.col(id_col), text))
-    each = with_fingerprints(marked, id_col, text_col, words, width, keep=key)
-    # the hash names a class, as it tells rows with one id apart
-    classes = checkpointed(each.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)).alias("least")))
-    classes = classes.withColumn("id", F.col(f"least.{key}"))
-    stays = _components(classes, width, compare, budget, per_word).groupBy("component").agg(F.min("least").alias("least"))
-    stays = stays.select(F.col(f"least.{key}").alias(key))
-    return marked.join(stays, key, "left_semi").dropDuplicates([key]).drop(key).select(*[f"`{c}`" for c in docs.columns])
-
-
 def fingerprint_hex(fp: Column) -> Column:
     """The first word as 16 hex digits."""
     return F.lower(F.lpad(F.hex(fp[0]), 16, "0"))

@@ -1,0 +1,64 @@
+"""The pipeline's near-duplicates against brute force."""
+
+import random
+
+import numpy as np
+import pytest
+
+from tessellum.llm import jaccard, simhash
+
+SF = "/root/testdata/sf0.001"
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def least_of_groups(texts):
+    """Ids that stand for the groups that pairs of 0.8 or more join."""
+    sets, parent = {k: shingles(t) for k, t in texts.items()}, {k: k for k in texts}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {root(k) for k in sets}
+
+
+def edges():
+    """Texts on both sides of 0.8, chains of near copies, and passages that two texts repeat."""
+    rnd = random.Random(4)
+    word = lambda: f"w{rnd.randrange(100_000)}"
+    texts = []
+    for n in range(40, 140):
+        base = [word() for _ in range(n)]
+        cut = rnd.randrange(n // 12, n // 6)
+        texts += [base, base[:-cut] + [word() for _ in range(cut)], base[cut:]]
+    chain = [word() for _ in range(80)]
+    for k in range(30):
+        chain = chain[2:] + [word(), word()]
+        texts.append(chain)
+    passage = [word() for _ in range(30)]
+    texts += [[word() for _ in range(60)] + passage * 12 for _ in range(4)]
+    return {i: " ".join(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("table", ["edges", "documents"])
+def test_near_duplicates_equal_brute_force(spark, table):
+    texts = edges() if table == "edges" else {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.without_near_duplicates(docs).collect()} == least_of_groups(texts)
+
+
+def test_order_of_shingles_changes_no_link(spark, monkeypatch):
+    texts = edges()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "common_shingles", lambda texts, words, total: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert {r.doc_id for r in jaccard.without_near_duplicates(docs).collect()} == least_of_groups(texts)
