@@ -15,7 +15,7 @@ from tessellum.llm.common import checkpointed, documents
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
-    return quality.quality_filter(docs)
+    return quality.quality_filter(docs, rules=quality.PIPELINE_RULES)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

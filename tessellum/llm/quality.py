@@ -106,6 +106,19 @@ METHOD_RULES = (
 )
 
 
+def _repeats_lines(text: Column) -> Column:
+    """Of the lines with a word, more than three tenths equal an earlier one, and so do more than three tenths of their characters."""
+    chars = lambda lines: F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x))
+    repeats = lambda x: let(F.array_distinct(x), lambda y: (10 * (F.size(x) - F.size(y)) > 3 * F.size(x)) & (10 * (chars(x) - chars(y)) > 3 * chars(x)))
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    return F.when(F.contains(text, F.lit("\n")), let(lines, repeats)).otherwise(False)
+
+
+#: The pipeline's: repeated lines count by their characters as well, so that one short line that stands twice in a text of three
+#: is no reason to drop it. op8_quality keeps the rule by number of lines, which its SQL states.
+PIPELINE_RULES = BASE_RULES + tuple(replace(r, rejects=_repeats_lines) if r.name == "repeated_lines" else r for r in METHOD_RULES)
+
+
 def plan_cascade(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = BASE_RULES + METHOD_RULES, *, sample_rows: int = 1000) -> list[Rule]:
     """The rules with their rejection rate and cost on a sample, by rejection per cost, largest first.
 
