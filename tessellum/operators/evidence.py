@@ -45,7 +45,7 @@ def merge_fields(results: DataFrame) -> DataFrame:
     tiers = results.groupBy("doc_id", "field").agg(F.array_sort(F.collect_list(row)).alias("tiers"))
     empty = lambda v: F.coalesce(v, F.lit("")) == ""
     better = lambda now, new: (new["confidence"] > now["confidence"]) | (empty(now["value"]) & ~empty(new["value"]))
-    kept = F.aggregate(F.slice("tiers", 2, 1000), F.element_at("tiers", 1), lambda now, new: F.when(better(now, new), new).otherwise(now))
+    kept = F.aggregate(F.slice("tiers", F.lit(2), F.size("tiers")), F.element_at("tiers", 1), lambda now, new: F.when(better(now, new), new).otherwise(now))
     return tiers.select("doc_id", "field", kept.alias("k")).select("doc_id", "field", "k.value", "k.confidence", "k.source")
 
 
