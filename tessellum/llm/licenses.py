@@ -1,6 +1,7 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-A block is 2 * STEP consecutive words, one begins every STEP words, so that any passage of STEP words lies in one.
+A block is 2 * step consecutive words, one begins every step words, so that any passage of step words lies in one; the
+step is STEP, or the number of words of the longest template if that is more.
 A block meets a template if it holds at least ceil(THRESHOLD * size) of the template's distinct words. All tokens
 are ordered by their document frequency over the whole corpus, rarest first, and then
 - prefix: a block that meets a template of n tokens in a of them holds one of its first n - a + 1;
@@ -44,8 +45,17 @@ def license_words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
+def _words(template: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in template.lower()).split()
+
+
 def _tokens(template: str) -> list[str]:
-    return list(dict.fromkeys("".join(c if c.isalnum() else " " for c in template.lower()).split()))
+    return list(dict.fromkeys(_words(template)))
+
+
+def step_of(templates: Mapping[str, str]) -> int:
+    """Words from one block to the next: no template has more."""
+    return max([STEP, *(len(_words(v)) for v in templates.values())])
 
 
 def _strings(values: list[str]) -> Column:
@@ -73,6 +83,7 @@ def matches(words: Column, order: list[str], templates: Mapping[str, str], thres
         for i, token in enumerate(tokens[: len(tokens) - need[k] + 1]):
             entry = F.struct(F.lit(k).alias("template"), _strings(tokens).alias("tokens"), F.lit(i).alias("i"), F.lit(need[k]).alias("need"))
             index.setdefault(token, []).append(entry)
+    step = step_of(templates)
     rare = [t for t in order if t in index]
     lists = F.create_map(*chain.from_iterable((F.lit(t), F.array(*index[t])) for t in rare))
     vocabulary = _strings(order)
@@ -94,8 +105,8 @@ def matches(words: Column, order: list[str], templates: Mapping[str, str], thres
         return F.filter(counted, lambda t: t["overlap"] >= t["need"])
 
     blocks = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(words) / STEP).cast("int") - 2, F.lit(0))),
-        lambda k: F.array_intersect(vocabulary, F.slice(words, k * STEP + 1, F.lit(2 * STEP))),
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(words) / step).cast("int") - 2, F.lit(0))),
+        lambda k: F.array_intersect(vocabulary, F.slice(words, k * step + 1, F.lit(2 * step))),
     )
     hits = F.flatten(F.transform(blocks, of_block))
     kept = F.transform(hits, lambda t: F.struct(F.substring_index(t["template"], ".", 1).alias("label"), (t["overlap"] / t["n"]).alias("containment")))
@@ -123,7 +134,8 @@ def phrase_places(words: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), a row for each row of docs.
 
-    score: the largest containment of a template that a block meets, 0 if none does. Null text counts as empty: no
+    score: the largest containment of a template that a block meets, 0 if none does. Templates may be of any length, such
+    as whole license texts: blocks are as long as the longest needs. Null text counts as empty: no
     words, null places, empty labels. Repeated rows each get their row, an empty table gives an empty one; columns
     other than the two named are not read.
     """
