@@ -38,14 +38,29 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from every column of df, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut off from its lineage by a reliable checkpoint in the folder that the session names.
 
-    Only a session without spark.checkpoint.dir, such as a test's, gets a folder of its own.
+    A session on one machine without spark.checkpoint.dir, such as a test's, gets a folder of its own; on a cluster a
+    missing setting is an error, as a machine's own folder would be lost with it. The folders go when their tables are
+    no longer used, if the session sets spark.cleaner.referenceTracking.cleanCheckpoints.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessellum-checkpoint-"))
     return df.checkpoint()

@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from tessellum.llm.common import checkpointed
 
 
+def _least(links: DataFrame) -> DataFrame:
+    """(a, m): the least b of each a, dealt out again, so that a join with it has two plain shuffles and a hub's side can be split."""
+    return links.groupBy("a").agg(F.min("b").alias("m")).repartition("a")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = _least(both).select("a", F.least("m", "a").alias("m"))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = _least(down)
     to_least = down.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return to_least.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -25,8 +30,9 @@ def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(a, b) links between long ids -> (id, component): the least id reachable, for every id that has a link.
 
     Links to oneself, repeated links and either direction are fine; rows with a null end are no links.
-    Each round is two joins on a key with map-side minimums, so that a hub's links are never gathered;
-    rounds grow with the logarithm of a component's width. No links: an empty table.
+    Each round is two joins on a key whose links are summed up in the map tasks first; the links of a hub go through the
+    joins in as many tasks as adaptive execution splits a skewed partition into. Rounds grow with the logarithm of a
+    component's width. No links: an empty table.
     """
     links = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
     links = checkpointed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

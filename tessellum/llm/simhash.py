@@ -5,12 +5,16 @@ Equal fingerprints are one class. Classes are linked by tries, each rooted at an
 fingerprint's bits: below a root, pairs of trie nodes are walked together, differing bits add up, and a pair
 of nodes is dropped as soon as they exceed the budget. With more disjoint slices that cover all bits than the
 budget has errors, any pair within the budget agrees on a whole slice, so the walk loses no link.
+
+near_duplicates() takes the fingerprints' distance as the answer. without_near_duplicates() takes it as the search for
+candidates, and decides by the exact Jaccard similarity of the two texts' sets of shingles.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +23,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellum.llm.common import checkpointed
+from tessellum.llm.common import checkpointed, fresh
 from tessellum.llm.components import connected_components
-from tessellum.llm.jaccard import without_near_duplicates  # noqa: F401  the exact join, also known by this module's name
+from tessellum.llm.shingles import SEED, shingles, verified
 
 #: Points of one trie that a task walks at once; a fuller trie is walked as pairs of parts this large.
 TILE = 4096
@@ -29,7 +33,10 @@ TILE = 4096
 SHARD = 30_000
 #: Pairs of points compared in one go.
 PAIRS = 1 << 21
-SEED = 42
+#: Of the fingerprints of without_near_duplicates(): words compared; standard deviations of the distance at the
+#: similarity asked for, above its mean, that the budget has; least bits of a slice; and a slice value has about
+#: 2 ** CROWD classes by chance, so that slices get wider as classes get more.
+COMPARED, DEVIATIONS, LEAST_SLICE, CROWD = 4, 3.5, 13, 8
 _LANES = np.uint64(0x0101010101010101)
 _WEYL = 0x9E3779B97F4A7C15
 
@@ -57,8 +64,18 @@ def _mixed(h: np.ndarray, word: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def majority(hashes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """Of each run of hashes that starts at starts, `width` numbers of the bits that more than half of its hashes have."""
+    n = np.diff(np.append(starts, len(hashes)))
+    out = np.empty((len(starts), width), np.uint64)
+    for w in range(width):
+        bits = 2 * _counts(_mixed(hashes, w), starts) > n[:, None]
+        out[:, w] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
 def fingerprints(texts: Sequence[str | None], words: int, width: int) -> np.ndarray:
-    """One row of `width` unsigned 64-bit numbers for each text."""
+    """One row of `width` unsigned 64-bit numbers for each text, of its shingles with their repeats."""
     out = np.zeros((len(texts), width), np.uint64)
     rows: list[int] = []
     hashes: list[int] = []
@@ -66,16 +83,12 @@ def fingerprints(texts: Sequence[str | None], words: int, width: int) -> np.ndar
 
     def flush() -> None:
         if rows:
-            h, at = np.array(hashes, np.uint64), np.array(starts, np.int64)
-            n = np.diff(np.append(at, len(h)))
-            for w in range(width):
-                bits = 2 * _counts(_mixed(h, w), at) > n[:, None]
-                out[rows, w] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
+            out[rows] = majority(np.array(hashes, np.uint64), np.array(starts, np.int64), width)
         rows.clear(), hashes.clear(), starts.clear()
 
     digest = xxhash.xxh64_intdigest
     for i, text in enumerate(texts):
-        split = text.encode().lower().split() if isinstance(text, str) else []
+        split = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
         if not split:
             continue
         joined = b" ".join(split)
@@ -93,19 +106,42 @@ def fingerprints(texts: Sequence[str | None], words: int, width: int) -> np.ndar
     return out
 
 
-def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, width: int, keep: str | None = None) -> DataFrame:
-    """(doc_id long, the long column keep, fp array of `width` longs), a row for each row of docs."""
+def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, width: int) -> DataFrame:
+    """(doc_id long, fp array of `width` longs), a row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 fp = fingerprints(batch["text"].to_pylist(), words, width).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1) * width, pa.int32()), pa.array(fp.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*batch.schema.names[:-1], "fp"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], _lists(fp)], ["doc_id", "fp"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp array<long>")
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[keep] * (keep is not None), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, " + f"{keep} long, " * (keep is not None) + "fp array<long>")
+
+def _lists(fp: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1) * fp.shape[1], pa.int32()), pa.array(fp.ravel()))
+
+
+def with_sets(rows: DataFrame, words: int, width: int) -> DataFrame:
+    """rows, whose last column is text, with a set's 128-bit hash (s1, s2), its size n and fingerprint fp in place of the text."""
+    names = rows.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                sets = [shingles(x.as_py(), words) for x in batch.columns[-1]]
+                key = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets), np.int64).reshape(-1, 2)
+                n = np.array([len(x) for x in sets], np.int64)
+                fp = np.zeros((len(sets), width), np.uint64)
+                if n.any():
+                    fp[n > 0] = majority(np.concatenate(sets).view(np.uint64), (np.cumsum(n) - n)[n > 0], width)
+                arrays = [*batch.columns[:-1], pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(n.astype(np.int32)), _lists(fp.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, [*names, "s1", "s2", "n", "fp"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{kinds}, s1 long, s2 long, n int, fp array<long>")
 
 
 def slices(width: int, count: int) -> list[tuple[int, int, int]]:
@@ -114,11 +150,32 @@ def slices(width: int, count: int) -> list[tuple[int, int, int]]:
     return [(w, a, b - a) for w in range(width) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def walk(fp: np.ndarray, a: np.ndarray, b: np.ndarray, budget: int, label: np.ndarray) -> np.ndarray:
-    """Walks pairs of tries over the rows of fp and joins, in label, rows within `budget` differing bits.
+@dataclass(frozen=True)
+class Search:
+    """How candidates of a similarity are looked for: words of a fingerprint, its slices, and the budget of differing bits."""
+
+    width: int
+    cut: list[tuple[int, int, int]]
+    budget: int
+
+    @classmethod
+    def of(cls, similarity: float, recall: float, total: int) -> Search:
+        """For `total` texts. Two sets of one size and that similarity have a bit apart with probability arccos(share) / pi."""
+        differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+        bits = min(32, max(LEAST_SLICE, math.ceil(math.log2(max(2, total))) - CROWD))
+        count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** bits)) if differ else 1
+        each = 64 // bits
+        cut = [(k // each, k % each * bits, bits) for k in range(count)]
+        bound = 64 * COMPARED
+        budget = math.ceil(bound * differ + DEVIATIONS * math.sqrt(bound * differ * (1 - differ)))
+        return cls(max(COMPARED, cut[-1][0] + 1), cut, budget)
+
+
+def walk(fp: np.ndarray, a: np.ndarray, b: np.ndarray, budget: int, label: np.ndarray, visit: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> None:
+    """Walks pairs of tries over the rows of fp and calls visit(i, j, differing bits) for rows within `budget` differing bits.
 
     a, b: (k, 2) row ranges, sorted each by its bits from the first word's highest on; a pair of equal ranges
-    is a trie against itself. Returns label: equal numbers, the least row, for rows that are linked.
+    is a trie against itself. Rows of one label are not compared; visit may join labels.
     """
     n, width = fp.shape
     ones: dict[int, np.ndarray] = {}
@@ -137,7 +194,8 @@ def walk(fp: np.ndarray, a: np.ndarray, b: np.ndarray, budget: int, label: np.nd
         for w in range(width):
             differ += np.bitwise_count(fp[i, w] ^ fp[j, w])
         near = differ <= budget
-        union(label, i[near], j[near])
+        if near.any():
+            visit(i[near], j[near], differ[near])
 
     todo = [(0, a.astype(np.int64), b.astype(np.int64), np.zeros(len(a), np.int32))]
     while todo:
@@ -171,7 +229,6 @@ def walk(fp: np.ndarray, a: np.ndarray, b: np.ndarray, budget: int, label: np.nd
         na, nb, nacc = na[keep], nb[keep], nacc[keep]
         for at in range(0, len(na), 200_000):
             todo.append((depth + 1, na[at : at + 200_000], nb[at : at + 200_000], nacc[at : at + 200_000]))
-    return label
 
 
 def union(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -190,10 +247,29 @@ def union(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def _linked(group: pa.Table, budget: int) -> pa.Table:
-    """The links of a shard's tries, as few as join what is linked: each row to the least of its set."""
+def spanning(label: np.ndarray, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that join in label what the pairs (i, j) join, in rounds: each set takes its nearest pair to another."""
+    order = np.argsort(far, kind="stable")
+    i, j = i[order], j[order]
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        if not len(i):
+            return
+        picked = np.unique(np.concatenate([np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1]]))
+        yield i[picked], j[picked]
+        union(label, i[picked], j[picked])
+
+
+def _linked(group: pa.Table, budget: int, similarity: float | None) -> pa.Table:
+    """The links of a shard's tries. Without a similarity as few as join what is near, each row to the least of its set.
+
+    With one, rows whose sizes rule it out are no pair, and the links are spanning ones over nearest pairs; or, if rows
+    have a component, all near pairs of different components.
+    """
     column = lambda name: group[name].combine_chunks().to_numpy(zero_copy_only=False)
-    ids = column("doc_id")
+    ids = column("id")
     fp = group["fp"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
     trie = np.column_stack([column(c).astype(np.int64) for c in ("table", "key", "left", "right")])
     second = (column("part") != column("left")).astype(np.int64)
@@ -209,41 +285,55 @@ def _linked(group: pa.Table, budget: int) -> pa.Table:
     b = np.where(alone[:, None], a, np.column_stack([mid, hi]))
     keep = (b[:, 1] > b[:, 0]) & (a[:, 1] > a[:, 0])
     # a class stands in many tries of the shard: all its places are one label from the start
-    _, first, same = np.unique(ids, return_index=True, return_inverse=True)
+    every = "component" in group.column_names
+    _, first, same = np.unique(column("component")[order] if every else ids, return_index=True, return_inverse=True)
     least = np.full(len(first), len(ids))
     np.minimum.at(least, same, np.arange(len(ids)))
-    label = walk(fp, a[keep], b[keep], budget, least[same])
-    ends = pa.table({"a": ids, "b": ids[label]})
+    label = least[same]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    if similarity is None:
+        walk(fp, a[keep], b[keep], budget, label, lambda i, j, far: union(label, i, j))
+        found.append((ids, ids[label]))
+    else:
+        size = column("n")[order].astype(np.int64)
+
+        def visit(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> None:
+            may = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+            i, j, far = i[may], j[may], far[may]
+            pairs = [(i, j)] if every else spanning(label, i, j, far)
+            found.extend((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])) for x, y in pairs)
+
+        walk(fp, a[keep], b[keep], budget, label, visit)
+    ends = pa.table({"a": np.concatenate([np.zeros(0, np.int64), *[x for x, _ in found]]), "b": np.concatenate([np.zeros(0, np.int64), *[y for _, y in found]])})
     return ends.filter(pc.not_equal(ends["a"], ends["b"])).group_by(["a", "b"]).aggregate([])
 
 
-def trie_links(classes: DataFrame, width: int, compare: int, budget: int, per_word: int, total: int) -> DataFrame:
-    """Links (a, b) between classes (id, fp) whose fingerprints differ in at most `budget` of the first `compare` words' bits.
+def trie_links(classes: DataFrame, cut: Sequence[tuple[int, int, int]], compare: int, budget: int, total: int, similarity: float | None = None) -> DataFrame:
+    """Links (a, b) between classes (id, fp) whose fingerprints differ in at most `budget` of the first `compare` words' bits and agree on a slice of cut.
 
-    They are spanning links: what is linked within the tries is joined by them, without listing each pair.
+    They are spanning links: what is linked within the tries is joined by them, without listing each pair. With a
+    similarity, classes have a set's size n, too, and if they have a component the links are all near pairs of different ones.
     total: the number of classes, for the number of groups. A slice value that many classes share is dealt
     out as pairs of parts of TILE classes.
     """
-    cut = slices(width, per_word)
+    keep = [c for c in classes.columns if c in ("n", "component")]
     keys = F.array(*[F.shiftrightunsigned(F.col("fp")[w], shift).bitwiseAND(F.lit((1 << bits) - 1)) for w, shift, bits in cut])
-    points = classes.select(F.col("id").alias("doc_id"), F.slice("fp", 1, compare).alias("fp"), F.posexplode(keys).alias("table", "key"))
+    points = classes.select("id", *keep, F.slice("fp", 1, compare).alias("fp"), F.posexplode(keys).alias("table", "key"))
     full = points.groupBy("table", "key").count().where(F.col("count") > TILE).withColumn("parts", F.ceil(F.col("count") / TILE)).drop("count")
-    points = points.join(full, ["table", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    points = points.withColumn("part", F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts")))
-    points = points.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    full = checkpointed(full)
+    most = full.count()
+    # as a rule no value is full, and the points need no join
+    if most:
+        points = points.join(F.broadcast(full) if most <= 10_000 else full, ["table", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        points = points.withColumn("part", F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts")))
+        points = points.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    else:
+        points = points.withColumn("part", F.lit(0)).withColumn("with", F.lit(0))
     points = points.withColumn("left", F.least("part", "with")).withColumn("right", F.greatest("part", "with"))
     shards = max(1, math.ceil(total * len(cut) / SHARD))
     points = points.withColumn("shard", F.pmod(F.xxhash64("table", "key", "left", "right"), F.lit(shards)).cast("int"))
-    points = points.select("shard", "table", "key", F.col("left").cast("int"), F.col("right").cast("int"), F.col("part").cast("int"), "doc_id", "fp")
-    return points.groupBy("shard").applyInArrow(lambda group: _linked(group, budget), "a long, b long").distinct()
-
-
-def _components(classes: DataFrame, width: int, compare: int | None, budget: int, per_word: int) -> DataFrame:
-    """classes (id, fp, ...) with the component of each; an id names one class. A class without links, or a null id, is its own."""
-    known = classes.where("id is not null").select("id", "fp")
-    links = trie_links(known, width, compare or width, budget, per_word, known.count())
-    found = connected_components(links).withColumnRenamed("id", "linked")
-    return classes.join(found, classes["id"] == found["linked"], "left").withColumn("component", F.coalesce("component", "id")).drop("linked")
+    points = points.select("shard", F.col("table").cast("short"), F.col("key").cast("int"), F.col("left").cast("int"), F.col("right").cast("int"), F.col("part").cast("int"), "id", *keep, "fp")
+    return points.groupBy("shard").applyInArrow(lambda group: _linked(group, budget, similarity), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -255,14 +345,79 @@ def near_duplicates(
     None; budget: differing bits of a link; per_word: tries rooted in each 64-bit word. If all are compared and
     per_word * width > budget, the join is exact; else tries that two close fingerprints don't share may miss them.
     A null or blank text has fingerprint zero and is linked like any other; a text with fewer words than a
-    shingle is one shingle. Repeated rows each get their row. A row with a null id takes the component of the
-    equal fingerprints, or null if none of those has an id. Ids are taken to name one text: if one stands on several
-    texts, its rows are linked. An empty table gives an empty one. Columns other than the two named are not read.
+    shingle is one shingle; very long texts are taken whole. Repeated rows each get their row. component_id is the least
+    id of all rows whose fingerprints are linked, directly or by others; rows with a null id link others, too, and if all
+    of a component's ids are null, so is it. Rows are linked by fingerprint alone, so rows with one id and far
+    fingerprints are not. An empty table gives an empty one. Columns other than the two named are not read.
     """
     each = checkpointed(with_fingerprints(docs, id_col, text_col, words, width))
-    classes = checkpointed(each.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    found = _components(classes, width, compare, budget, per_word).select(F.col("fp").alias("class_fp"), F.col("component").alias("component_id"))
-    return each.join(found, each["fp"] == found["class_fp"]).select("doc_id", "fp", "component_id")
+    named = checkpointed(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # numbers of the checkpoint's rows, which are the same in each reading
+    classes = named.withColumn("id", F.monotonically_increasing_id())
+    links = trie_links(classes.select("id", "fp"), slices(width, per_word), compare or width, budget, named.count())
+    found = connected_components(links).withColumnRenamed("id", "linked")
+    joined = classes.join(found, F.col("id") == F.col("linked"), "left").select("fp", "least", F.coalesce("component", "id").alias("component"))
+    joined = checkpointed(joined)
+    least = joined.groupBy("component").agg(F.min("least").alias("component_id")).repartition("component")
+    named = joined.join(least, "component").select(F.col("fp").alias("class_fp"), "component_id")
+    return each.join(named, each["fp"] == named["class_fp"]).select("doc_id", "fp", "component_id")
+
+
+def similar_links(classes: DataFrame, texts: Callable[[DataFrame], DataFrame], search: Search, words: int, similarity: float, total: int) -> DataFrame:
+    """Links (a, b) between classes (id, n, fp) of that Jaccard similarity that join what all such pairs of the search's candidates join.
+
+    texts: of a table of ids, (id, text). First a spanning forest of near pairs is verified, so that a large group of
+    near copies is mostly one component by as many links as it has members. A pair that the forest's true links
+    don't join has a false link at each end's component; so, second, all near pairs between such components are verified.
+    """
+    near = lambda some, n: trie_links(some, search.cut, COMPARED, search.budget, n, similarity)
+
+    pairs = checkpointed(near(classes, total))
+    # each class with a near pair has one in the forest, so these are all texts that are needed
+    held = checkpointed(texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    forest = checkpointed(verified(pairs, held, words, similarity))
+    first = forest.where("similar").select("a", "b")
+    joined = checkpointed(connected_components(first))
+    of = lambda end: joined.select(F.col("id").alias(end), F.col("component").alias(f"{end}_component"))
+    broken = forest.where("not similar").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    broken = broken.select(F.coalesce("a_component", "a").alias("x"), F.coalesce("b_component", "b").alias("y")).where("x <> y")
+    open_ = checkpointed(broken.select(F.explode(F.array("x", "y")).alias("component")).distinct())
+    known = classes.join(joined.withColumnRenamed("id", "linked"), F.col("id") == F.col("linked"), "left").withColumn("component", F.coalesce("component", "id")).drop("linked")
+    known = checkpointed(known.join(open_, "component", "left_semi"))
+    rest = near(known, known.count()).join(forest.select("a", "b"), ["a", "b"], "left_anti")
+    return first.unionByName(checkpointed(verified(checkpointed(rest), held, words, similarity)).where("similar").select("a", "b"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, recall: float = 0.995) -> DataFrame:
+    """The rows of docs, all columns, that stand for their group of near-duplicates: of each group the least id, null last, ties by hash.
+
+    Texts whose sets of `words`-word shingles have a Jaccard similarity of `similarity` or more are one group, and so is
+    what such pairs join. Candidates are near fingerprints of the sets, and each is verified exactly, so that no text goes
+    without a chain of such pairs to one that stays. recall: the probability that a pair just at that similarity is a
+    candidate, by its slices; the more alike two texts are, the higher it is, and equal sets always are one. Null and blank
+    texts are one group, repeated rows are one row, very long texts are taken whole, an empty table gives an empty one.
+    Rows are told apart by 128 bits of id and text, so an id may stand on several texts; other columns may have any name.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    k1, k2 = fresh(docs, "row_1", "row_2")
+    marked = docs.withColumn(k1, F.xxhash64(F.lit(1), F.col(id_col), text)).withColumn(k2, F.xxhash64(F.lit(2), F.col(id_col), text))
+    key = [F.col(k1).alias("k1"), F.col(k2).alias("k2")]
+    search = Search.of(similarity, recall, docs.count())
+    rows = marked.select(F.col(id_col).alias("doc_id"), *key, text.alias("text"))
+    rows = checkpointed(with_sets(rows, words, search.width))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("least")
+    classes = checkpointed(rows.groupBy("s1", "s2").agg(least, F.first("n").alias("n"), F.first("fp").alias("fp")).drop("s1", "s2"))
+    classes = classes.withColumn("id", F.monotonically_increasing_id())  # of a checkpoint, so the same in each reading
+
+    def texts(ids: DataFrame) -> DataFrame:
+        needed = classes.select("id", "least.k1", "least.k2").join(ids, "id", "left_semi").withColumnsRenamed({"k1": "n1", "k2": "n2"})
+        return marked.select(*key, text.alias("text")).join(needed, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2"))).select("id", "text").dropDuplicates(["id"])
+
+    some = classes.where("n > 0").select("id", "n", "fp")
+    found = connected_components(similar_links(some, texts, search, words, similarity, classes.count())).withColumnRenamed("id", "linked")
+    stays = classes.join(found, F.col("id") == F.col("linked"), "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("least").alias("least"))
+    stays = stays.select(F.col("least.k1").alias(k1), F.col("least.k2").alias(k2))
+    return marked.join(stays, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def fingerprint_hex(fp: Column) -> Column:

@@ -2,10 +2,9 @@
 
 import random
 
-import numpy as np
 import pytest
 
-from tessellum.llm import jaccard, simhash
+from tessellum.llm import simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,8 +56,19 @@ def test_near_duplicates_equal_brute_force(spark, table):
     assert {r.doc_id for r in simhash.without_near_duplicates(docs).collect()} == least_of_groups(texts)
 
 
-def test_order_of_shingles_changes_no_link(spark, monkeypatch):
+def test_parts_of_a_full_slice_value_lose_nothing(spark, monkeypatch):
     texts = edges()
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    monkeypatch.setattr(jaccard, "common_shingles", lambda texts, words, total: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-    assert {r.doc_id for r in jaccard.without_near_duplicates(docs).collect()} == least_of_groups(texts)
+    monkeypatch.setattr(simhash, "TILE", 8)
+    assert {r.doc_id for r in simhash.without_near_duplicates(docs).collect()} == least_of_groups(texts)
+
+
+def test_columns_of_any_name_and_a_null_id_that_links_two_others(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, 6), (2, "a b c", 7, 8), (3, "x", 1, 1)], "doc_id long, text string, row_1 long, _row_hash long")
+    assert {tuple(r) for r in simhash.without_near_duplicates(docs).collect()} == {(1, "a b c", 5, 6), (3, "x", 1, 1)}
+    rows = [(1, [0]), (None, [15]), (3, [255]), (4, [255 << 20])]
+    fps = spark.createDataFrame(rows, "doc_id long, fp array<long>")
+    simple = lambda *_: fps
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(simhash, "with_fingerprints", simple)
+        assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(fps).collect()} == {(1, 1), (None, 1), (3, 1), (4, 4)}

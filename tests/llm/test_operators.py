@@ -184,7 +184,7 @@ def test_simhash_walk_in_parts_loses_nothing(spark, monkeypatch):
     rows = [(i, [int(v)]) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "id long, fp array<long>")
     monkeypatch.setattr(simhash, "TILE", 2)
-    links = {tuple(sorted((r.a, r.b))) for r in simhash.trie_links(df, 1, 1, 4, 5, len(rows)).collect()}
+    links = {tuple(sorted((r.a, r.b))) for r in simhash.trie_links(df, simhash.slices(1, 5), 1, 4, len(rows)).collect()}
     parent = list(range(len(rows)))
 
     def root(x):
