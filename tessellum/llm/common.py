@@ -64,3 +64,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir names no shared folder")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessellum-checkpoint-"))
     return df.checkpoint()
+
+
+#: Rows of a table of heavy keys that is broadcast; a larger one is joined by a shuffle.
+HEAVY = 10_000
+
+
+def with_parts(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """rows with a column parts (long): into how many parts of `limit` rows their key's rows are to be dealt, 1 as a rule.
+
+    The keys with more are at most a limit-th of the rows; as many as HEAVY are broadcast.
+    """
+    heavy = rows.groupBy(*keys).agg(F.count("*").alias("parts")).where(F.col("parts") > limit).withColumn("parts", F.ceil(F.col("parts") / limit))
+    heavy = checkpointed(heavy)
+    most = heavy.count()
+    if not most:
+        return rows.withColumn("parts", F.lit(1).cast("long"))
+    return rows.join(F.broadcast(heavy) if most <= HEAVY else heavy, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))

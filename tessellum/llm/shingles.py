@@ -10,7 +10,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessellum.llm.common import with_parts
+
 SEED = 42
+#: Pairs of one text that meet it in one task, about.
+PARTNERS = 256
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -35,7 +39,7 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Of the pairs (a, b) of ids of texts (id, text): (a, b, similar), by counting their common shingles.
 
-    Each end is joined by a plain shuffle, so that adaptive execution can split the pairs of an id that has many.
+    An id with many pairs is dealt out in parts of PARTNERS pairs. pairs should be a checkpoint, as it is read more than once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,5 +55,13 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
                 keep.append(similar(known[a] if a in known else shingles(x.as_py(), words), known[b], similarity))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(keep, pa.bool_())], ["a", "b", "similar"])
 
-    x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similar boolean")
+    # an id with many pairs is dealt out in parts, and its text is sent to each
+    for end, other in (("a", "b"), ("b", "a")):
+        pairs = with_parts(pairs, [end], PARTNERS).withColumn(f"{end}_part", F.pmod(F.xxhash64(other), F.col("parts"))).withColumnRenamed("parts", f"{end}_parts")
+
+    def held(end: str, side: str) -> DataFrame:
+        each = pairs.groupBy(end).agg(F.max(f"{end}_parts").alias("parts")).join(texts, F.col(end) == F.col("id"))
+        return each.select(end, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias(f"{end}_part"), F.col("text").alias(side))
+
+    joined = pairs.join(held("a", "x"), ["a", "a_part"]).join(held("b", "y"), ["b", "b_part"])
+    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similar boolean")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellum.llm.common import checkpointed, fresh
+from tessellum.llm.common import checkpointed, fresh, with_parts
 from tessellum.llm.components import connected_components
 from tessellum.llm.shingles import SEED, shingles, verified
 
@@ -33,6 +33,8 @@ TILE = 4096
 SHARD = 30_000
 #: Pairs of points compared in one go.
 PAIRS = 1 << 21
+#: Texts of one side of a block of between_components().
+BLOCK = 512
 #: Of the fingerprints of without_near_duplicates(): words compared; standard deviations of the distance at the
 #: similarity asked for, above its mean, that the budget has; least bits of a slice; and a slice value has about
 #: 2 ** CROWD classes by chance, so that slices get wider as classes get more.
@@ -265,8 +267,8 @@ def spanning(label: np.ndarray, i: np.ndarray, j: np.ndarray, far: np.ndarray) -
 def _linked(group: pa.Table, budget: int, similarity: float | None) -> pa.Table:
     """The links of a shard's tries. Without a similarity as few as join what is near, each row to the least of its set.
 
-    With one, rows whose sizes rule it out are no pair, and the links are spanning ones over nearest pairs; or, if rows
-    have a component, all near pairs of different components.
+    With one, rows whose sizes n, or numbers of shingles that others may share, rule it out are no pair. The links are
+    spanning ones over nearest pairs; or, if rows have a component, the pairs of components that hold a near pair.
     """
     column = lambda name: group[name].combine_chunks().to_numpy(zero_copy_only=False)
     ids = column("id")
@@ -286,7 +288,8 @@ def _linked(group: pa.Table, budget: int, similarity: float | None) -> pa.Table:
     keep = (b[:, 1] > b[:, 0]) & (a[:, 1] > a[:, 0])
     # a class stands in many tries of the shard: all its places are one label from the start
     every = "component" in group.column_names
-    _, first, same = np.unique(column("component")[order] if every else ids, return_index=True, return_inverse=True)
+    names = column("component")[order] if every else ids
+    _, first, same = np.unique(names, return_index=True, return_inverse=True)
     least = np.full(len(first), len(ids))
     np.minimum.at(least, same, np.arange(len(ids)))
     label = least[same]
@@ -295,13 +298,16 @@ def _linked(group: pa.Table, budget: int, similarity: float | None) -> pa.Table:
         walk(fp, a[keep], b[keep], budget, label, lambda i, j, far: union(label, i, j))
         found.append((ids, ids[label]))
     else:
-        size = column("n")[order].astype(np.int64)
+        size, shared = column("n")[order].astype(np.int64), column("shared")[order].astype(np.int64)
 
         def visit(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> None:
-            may = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+            may = np.minimum(shared[i], shared[j]) >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-9
             i, j, far = i[may], j[may], far[may]
-            pairs = [(i, j)] if every else spanning(label, i, j, far)
-            found.extend((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])) for x, y in pairs)
+            if every:
+                ends = np.unique(np.column_stack([np.minimum(names[i], names[j]), np.maximum(names[i], names[j])]), axis=0)
+                found.append((ends[:, 0], ends[:, 1]))
+            else:
+                found.extend((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])) for x, y in spanning(label, i, j, far))
 
         walk(fp, a[keep], b[keep], budget, label, visit)
     ends = pa.table({"a": np.concatenate([np.zeros(0, np.int64), *[x for x, _ in found]]), "b": np.concatenate([np.zeros(0, np.int64), *[y for _, y in found]])})
@@ -312,23 +318,17 @@ def trie_links(classes: DataFrame, cut: Sequence[tuple[int, int, int]], compare:
     """Links (a, b) between classes (id, fp) whose fingerprints differ in at most `budget` of the first `compare` words' bits and agree on a slice of cut.
 
     They are spanning links: what is linked within the tries is joined by them, without listing each pair. With a
-    similarity, classes have a set's size n, too, and if they have a component the links are all near pairs of different ones.
+    similarity, classes have a set's size n, too, and how many of its shingles others may share; and if they have a
+    component, the links are the pairs of components that hold a near pair.
     total: the number of classes, for the number of groups. A slice value that many classes share is dealt
     out as pairs of parts of TILE classes.
     """
-    keep = [c for c in classes.columns if c in ("n", "component")]
+    keep = [c for c in classes.columns if c in ("n", "shared", "component")]
     keys = F.array(*[F.shiftrightunsigned(F.col("fp")[w], shift).bitwiseAND(F.lit((1 << bits) - 1)) for w, shift, bits in cut])
     points = classes.select("id", *keep, F.slice("fp", 1, compare).alias("fp"), F.posexplode(keys).alias("table", "key"))
-    full = points.groupBy("table", "key").count().where(F.col("count") > TILE).withColumn("parts", F.ceil(F.col("count") / TILE)).drop("count")
-    full = checkpointed(full)
-    most = full.count()
-    # as a rule no value is full, and the points need no join
-    if most:
-        points = points.join(F.broadcast(full) if most <= 10_000 else full, ["table", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        points = points.withColumn("part", F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts")))
-        points = points.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    else:
-        points = points.withColumn("part", F.lit(0)).withColumn("with", F.lit(0))
+    points = with_parts(points, ["table", "key"], TILE)
+    points = points.withColumn("part", F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts")))
+    points = points.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     points = points.withColumn("left", F.least("part", "with")).withColumn("right", F.greatest("part", "with"))
     shards = max(1, math.ceil(total * len(cut) / SHARD))
     points = points.withColumn("shard", F.pmod(F.xxhash64("table", "key", "left", "right"), F.lit(shards)).cast("int"))
@@ -363,16 +363,70 @@ def near_duplicates(
     return each.join(named, each["fp"] == named["class_fp"]).select("doc_id", "fp", "component_id")
 
 
+def between_components(known: DataFrame, texts: DataFrame, near: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join the components of known (id, n, fp, component) that hold a similar pair which is near, too; texts: (id, text).
+
+    near gives the pairs of components that hold a near pair. Of such a pair, the smaller component's members ask the
+    larger's, in blocks of BLOCK by BLOCK texts; no pair of texts is a row, and of an asker's answers one is enough.
+    A shingle that no other text has is in no overlap, which spares most pairs of texts that are near but not similar.
+    """
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch["id"].to_pylist(), batch["text"], strict=True):
+                held = shingles(text.as_py(), words)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), key)), pa.array(held)], ["id", "token"])
+
+    texts = checkpointed(texts.join(known.select("id"), "id", "left_semi"))
+    alone = texts.mapInArrow(tokens, "id long, token long").groupBy("token").agg(F.count("*").alias("texts"), F.min("id").alias("holder")).where("texts = 1")
+    alone = alone.groupBy("holder").agg(F.count("*").alias("alone"))
+    known = known.join(alone, F.col("id") == F.col("holder"), "left").withColumn("shared", (F.col("n") - F.coalesce("alone", F.lit(0))).cast("int")).drop("alone", "holder")
+    known = checkpointed(known.where(F.col("shared") >= similarity * F.col("n") - 1e-9))
+    pairs = checkpointed(near(known))
+    members = known.select("component", "id")
+    size = checkpointed(members.groupBy("component").agg(F.count("*").alias("size")))
+    of = lambda end: size.select(F.col("component").alias(end), F.col("size").alias(f"{end}_size"))
+    sized = pairs.join(of("a"), "a").join(of("b"), "b")
+    small = F.col("a_size") <= F.col("b_size")
+    sized = sized.select(F.when(small, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(small, F.col("b")).otherwise(F.col("a")).alias("y"), F.greatest("a_size", "b_size").alias("size"))
+    asks = checkpointed(sized.join(members.select(F.col("component").alias("x"), "id"), "x").select("y", "size", "id"))
+    shape = asks.groupBy("y").agg(F.ceil(F.first("size") / BLOCK).alias("parts"), F.ceil(F.count("*") / BLOCK).alias("turns"))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one_of = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), F.col(n))
+    left = asks.select("y", "id").join(shape, "y").select("y", one_of("turns").alias("turn"), all_of("parts").alias("part"), "id", F.lit(True).alias("asks"))
+    right = members.withColumnRenamed("component", "y").join(shape, "y").select("y", all_of("turns").alias("turn"), one_of("parts").alias("part"), "id", F.lit(False).alias("asks"))
+
+    def answered(block: pa.Table) -> pa.Table:
+        ids, asking = block["id"].to_numpy(), block["asks"].to_numpy()
+        sets = [shingles(x.as_py(), words) for x in block["text"]]
+        size = np.array([len(x) for x in sets])
+        to = np.flatnonzero(~asking)
+        out = []
+        if len(to):
+            held, owner = np.concatenate([sets[k] for k in to]), np.repeat(np.arange(len(to)), size[to])
+            order = np.argsort(held, kind="stable")
+            held, owner = held[order], owner[order]
+            for k in np.flatnonzero(asking):
+                lo, hi = np.searchsorted(held, sets[k], "left"), np.searchsorted(held, sets[k], "right")
+                n = hi - lo
+                both = np.bincount(owner[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)], minlength=len(to))
+                good = np.flatnonzero(both >= similarity * (size[k] + size[to] - both) - 1e-9)
+                if len(good):
+                    out.append((ids[k], ids[to[good[0]]]))
+        return pa.table({"a": np.array([x for x, _ in out], np.int64), "b": np.array([y for _, y in out], np.int64)})
+
+    return left.unionByName(right).join(texts, "id").groupBy("y", "turn", "part").applyInArrow(answered, "a long, b long")
+
+
 def similar_links(classes: DataFrame, texts: Callable[[DataFrame], DataFrame], search: Search, words: int, similarity: float, total: int) -> DataFrame:
     """Links (a, b) between classes (id, n, fp) of that Jaccard similarity that join what all such pairs of the search's candidates join.
 
     texts: of a table of ids, (id, text). First a spanning forest of near pairs is verified, so that a large group of
     near copies is mostly one component by as many links as it has members. A pair that the forest's true links
-    don't join has a false link at each end's component; so, second, all near pairs between such components are verified.
+    don't join has a false link at each end's component; so, second, such components are compared where they are near.
     """
     near = lambda some, n: trie_links(some, search.cut, COMPARED, search.budget, n, similarity)
-
-    pairs = checkpointed(near(classes, total))
+    pairs = checkpointed(near(classes.withColumn("shared", F.col("n")), total))
     # each class with a near pair has one in the forest, so these are all texts that are needed
     held = checkpointed(texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     forest = checkpointed(verified(pairs, held, words, similarity))
@@ -384,8 +438,7 @@ def similar_links(classes: DataFrame, texts: Callable[[DataFrame], DataFrame], s
     open_ = checkpointed(broken.select(F.explode(F.array("x", "y")).alias("component")).distinct())
     known = classes.join(joined.withColumnRenamed("id", "linked"), F.col("id") == F.col("linked"), "left").withColumn("component", F.coalesce("component", "id")).drop("linked")
     known = checkpointed(known.join(open_, "component", "left_semi"))
-    rest = near(known, known.count()).join(forest.select("a", "b"), ["a", "b"], "left_anti")
-    return first.unionByName(checkpointed(verified(checkpointed(rest), held, words, similarity)).where("similar").select("a", "b"))
+    return first.unionByName(checkpointed(between_components(known, held, lambda some: near(some, some.count()), words, similarity)))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, recall: float = 0.995) -> DataFrame:

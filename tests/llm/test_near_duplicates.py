@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tessellum.llm import shingles as shingles_of
 from tessellum.llm import simhash
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +73,18 @@ def test_columns_of_any_name_and_a_null_id_that_links_two_others(spark):
     with pytest.MonkeyPatch.context() as m:
         m.setattr(simhash, "with_fingerprints", simple)
         assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(fps).collect()} == {(1, 1), (None, 1), (3, 1), (4, 4)}
+
+
+def test_a_group_around_one_text_with_members_on_both_sides_of_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(shingles_of, "PARTNERS", 4)
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(100_000)}" for _ in range(150)]
+    texts = {}
+    for i in range(160):
+        text = list(base)
+        for _ in range(i % 8):
+            text[rnd.randrange(150)] = f"x{rnd.randrange(100_000)}"
+        texts[i] = " ".join(text)
+    docs = spark.createDataFrame(list(texts.items())[1:], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.without_near_duplicates(docs).collect()} == least_of_groups({k: v for k, v in texts.items() if k})
