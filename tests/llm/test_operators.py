@@ -88,6 +88,72 @@ def test_mixing_meets_targets_and_reruns_agree(spark, real):
     assert all(abs(taken[s] - target[s]) <= most[s] for s in taken)
 
 
+def brute_force_mix(spark, rows, weights, max_copies, seed):
+    """(source, size, weight) rows with different texts as Counter of (doc_id, taken), by sorting all Pareto ranks; scales by bisection."""
+    sizes, order = defaultdict(int), sorted({r.source for r in rows}, key=lambda s: (s is None, s))
+    for r in rows:
+        sizes[r.source] += r.size
+    given, left, cap, target = {s: weights[i % len(weights)] for i, s in enumerate(order)}, sum(sizes.values()), set(), {}
+    while True:
+        level = (left - sum(max_copies * sizes[s] for s in cap)) / max(1e-9, sum(given[s] for s in order if s not in cap))
+        more = {s for s in order if s not in cap and level * given[s] > max_copies * sizes[s]}
+        if not more:
+            break
+        cap |= more
+    target = {s: max_copies * sizes[s] if s in cap else level * given[s] for s in order}
+    out = Counter()
+    for s in order:
+        mine = [r for r in rows if r.source == s]
+        lo, hi = 0.0, 1e6
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(min(mid * r.weight, max_copies) * r.size for r in mine) < target[s] else (lo, mid)
+        m = [min(hi * r.weight, max_copies) for r in mine]
+        whole = [math.floor(x + 1e-6) for x in m]
+        rest, upto, ranked = target[s] - sum(w * r.size for w, r in zip(whole, mine, strict=True)), 0, []
+        for r, x, w in zip(mine, m, whole, strict=True):
+            if x - w > 1e-6 and r.size:
+                p, u = x - w, ((r.hash % (1 << 64) >> 11) + 0.5) / (1 << 53)
+                ranked.append(((u / (1 - u)) / (p / (1 - p)), r))
+        extra = set()
+        for _, r in sorted(ranked, key=lambda z: z[0]):
+            if upto + r.size / 2 > rest:
+                break
+            extra.add(r.number)
+            upto += r.size
+        for r, w in zip(mine, whole, strict=True):
+            out[r.doc_id, (w + (r.number in extra)) * r.size] += 1
+    return out
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_mixing_equals_brute_force_with_unequal_probabilities(spark, real, weighted):
+    table = real.withColumn("w", F.pmod(F.col("doc_id"), F.lit(5)) + 0.5)
+    size = mixing.n_words(F.col("text"))
+    key = [F.xxhash64(F.lit(k), F.col("doc_id").cast("long"), "source", "text") for k in (1, 2)]
+    rows = table.select("doc_id", "source", size.alias("size"), (F.col("w") if weighted else mixing.length_weight(size)).alias("weight"), F.xxhash64(F.lit(17), *key, F.lit(1).cast("long")).alias("hash"), F.monotonically_increasing_id().alias("number"))
+    found = mixing.mix(table, weight_col="w" if weighted else None)
+    expected = brute_force_mix(spark, rows.collect(), (5, 2, 1), 3, 17)
+    assert Counter((r.doc_id, r.taken) for r in found.collect()) == expected
+    assert len({taken for _, taken in expected}) > 3
+
+
+def test_mixing_draws_repeated_and_null_ids_each_on_its_own(spark):
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(10))
+    rows = [(None, text(i), "a") for i in range(300)] + [(7, text(0), "b") for _ in range(300)] + [(i, text(i), "c") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(docs)
+    assert found.count() == 900
+    by_source = defaultdict(lambda: [0, 0.0])
+    for r in found.collect():
+        key = "a" if r.doc_id is None else "b" if r.target < 9000 * 2 / 8 + 1 and r.target > 9000 / 8 + 1 else "c"
+        by_source[key][0] += r.taken
+        by_source[key][1] = r.target
+    assert sum(abs(t - target) <= 10 for t, target in by_source.values()) == 3
+    mixed = Counter(r.source for r in mixing.mixed_documents(docs).collect())
+    assert {k: 10 * n for k, n in mixed.items()} == {k: t for k, (t, _) in by_source.items()}
+
+
 def test_mixing_targets_stop_at_three_times_the_source(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 5)], "source string, size long")
     found = {r.source: r.target for r in mixing.targets(sizes, (5, 2, 1), 3).collect()}
