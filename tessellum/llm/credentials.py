@@ -3,8 +3,9 @@
 Base rules find assignments, access keys and long hex strings. The method adds candidates that those miss (kind
 `entropy`, and well-known key prefixes as kind `prefix`), and judges all values by who has them: values are
 hashed, and a hash is counted by distinct repositories and by distinct owners over the whole corpus. A value that
-many owners have is an example copied around; one that stays with few is live-looking. Added candidates become
-spans only where their value is live-looking; base spans always stay.
+many owners have, or several owners in many repositories, is an example copied around; one that stays with one owner,
+in however many repositories, or with few is live-looking. Added candidates become spans only where their value is
+live-looking; base spans always stay.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ RULES = (
 )
 #: Bits a character that an `entropy` candidate needs.
 ENTROPY = 3.5
-#: A value of this many owners or more is an example.
-OWNERS = 3
+#: A value of this many owners or more is an example, and so is one of two owners or more in this many repositories.
+OWNERS, REPOSITORIES = 3, 20
 
 #: Every candidate holds one of these, so other texts need no scan.
 HINT = r"(?i)password|passwd|secret|token|api_?key|[A-Za-z0-9+/_=-]{20}"
@@ -79,17 +80,26 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("value").agg(F.sum("repositories").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
+def live_looking(example_owners: int, example_repositories: int) -> Column:
+    """Beside n_repositories and n_owners: the value is no example."""
+    return (F.col("n_owners") < example_owners) & ((F.col("n_owners") < 2) | (F.col("n_repositories") < example_repositories))
+
+
 def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", *, example_owners: int = OWNERS) -> DataFrame:
+def scan(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", *, example_owners: int = OWNERS, example_repositories: int = REPOSITORIES
+) -> DataFrame:
     """(doc_id, text_key, spans) for each row of docs; spans: array of struct(kind, start, end, value_start, value, n_repositories, n_owners, live).
 
-    spans holds every base span, and the added ones whose value fewer than example_owners owners have; `live` says
-    the same of each value. Null text counts as empty and has none. Rows are told apart by nothing but their text,
-    so repeated rows and null ids each keep their row. An empty table gives an empty one; only the columns named
-    are read. Only values, by hash, leave their document; those are shuffled, not texts.
+    spans holds every base span, and the added ones whose value is live-looking, which `live` says of each value: fewer
+    than example_owners owners have it, and not two or more in example_repositories repositories. Null text counts as
+    empty and has none; very long texts are scanned whole. Rows are told apart by nothing but their text, so repeated rows
+    and null ids each keep their row. Spans that start together go by kind. An empty table gives an empty one; only the
+    columns named are read, whatever others are called. Only values, by hash, leave their document; those are shuffled,
+    not texts. A value, or a text, of many rows meets its verdict by a join whose plain shuffles can be split.
     """
     hint = F.coalesce(F.col(text_col).cast("string").rlike(HINT), F.lit(False))
 
@@ -105,13 +115,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposi
     rows = read(docs.where(hint), find_candidates(F.col(text_col).cast("string"))).unionByName(read(docs.where(~hint), F.array().cast(FOUND)))
     rows = checkpointed(rows)
     each = rows.where(F.size("found") > 0).select("repository", "owner", "text_key", F.explode("found").alias("c"))
-    counts = ownership(each.select("c.value", "owner", "repository"))
+    counts = ownership(each.select("c.value", "owner", "repository")).repartition("value")
     of_text = each.select("text_key", "c").distinct()
-    judged = of_text.join(counts, of_text["c.value"] == counts["value"]).select("text_key", "c", "n_repositories", "n_owners", (F.col("n_owners") < example_owners).alias("live"))
+    judged = of_text.join(counts, of_text["c.value"] == counts["value"]).select("text_key", "c", "n_repositories", "n_owners", live_looking(example_owners, example_repositories).alias("live"))
     judged = judged.where(F.col("c.kind").isin(*BASE) | F.col("live"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("c.kind"))
     span = F.struct(F.col("c.start").alias("start"), rank.alias("rank"), "c.kind", "c.end", "c.value_start", "c.value", "n_repositories", "n_owners", "live")
-    spans = judged.groupBy("text_key").agg(F.array_sort(F.collect_list(span)).alias("spans")).withColumnRenamed("text_key", "k")
+    spans = judged.groupBy("text_key").agg(F.array_sort(F.collect_list(span)).alias("spans")).withColumnRenamed("text_key", "k").repartition("k")
     none, some = rows.where(F.size("found") == 0), rows.where(F.size("found") > 0)
     some = some.join(spans, some["text_key"] == spans["k"], "left").select("doc_id", "text_key", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
     return some.unionByName(none.select("doc_id", "text_key", F.array().cast(spans.schema["spans"].dataType).alias("spans")))
@@ -132,15 +142,19 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", *, mask: str = "[SECRET]", example_owners: int = OWNERS) -> DataFrame:
+def redact(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", *, mask: str = "[SECRET]", example_owners: int = OWNERS, example_repositories: int = REPOSITORIES
+) -> DataFrame:
     """docs, all its columns and rows, with each live-looking value in the text replaced by mask; examples stay.
 
-    Only texts that may hold a value are joined to their spans; the others are not shuffled.
+    Values that overlap are cut as one. Null and empty texts stay as they are, very long ones are taken whole, repeated rows
+    each keep their row, an empty table gives an empty one, and columns may have any name. Only texts that may hold a value
+    are joined to their spans; the others are not shuffled.
     """
-    scanned = scan(docs, id_col, text_col, id_col, owner_col, example_owners=example_owners)
+    scanned = scan(docs, id_col, text_col, id_col, owner_col, example_owners=example_owners, example_repositories=example_repositories)
     live = F.filter("spans", lambda s: s["live"])
     cuts = scanned.select("text_key", live.alias("live")).where(F.size("live") > 0)
-    cuts = cuts.select("text_key", F.transform("live", lambda s: F.struct(s["value_start"].alias("a"), s["end"].alias("b"))).alias("cuts")).distinct()
+    cuts = cuts.select("text_key", F.transform("live", lambda s: F.struct(s["value_start"].alias("a"), s["end"].alias("b"))).alias("cuts")).distinct().repartition("text_key")
     found = docs.where(F.coalesce(F.col(text_col).cast("string").rlike(HINT), F.lit(False)))
     text = F.col(f"d.`{text_col}`")
     key = F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
