@@ -1,9 +1,13 @@
-"""Quality rules as a short-circuit cascade, in DataFrame functions only."""
+"""Quality rules as a short-circuit cascade, in DataFrame functions only.
+
+A rule reads measures of a text. On a sample each rule's time is its cost, and the order is made rule by rule: next
+comes the one that rejects most per cost of the rows that those before it leave.
+"""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -63,55 +67,80 @@ def n_repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, 0).otherwise(let(let(hashes, windows), count))
 
 
+def n_words(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
+
+
+def n_capitals(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[A-Z]"))
+
+
+#: Measures by name, each of a text that is not null.
+MEASURES: dict[str, Callable[[Column], Column]] = {
+    "n_words": n_words,
+    "word_chars": word_chars,
+    "n_symbols": n_symbols,
+    "n_dup_lines": n_dup_lines,
+    "n_repeat_words": lambda t: let(ascii_words(t), n_repeat_words),
+    "n_lines": n_lines,
+    "n_capitals": n_capitals,
+}
+
+
 def features(text: Column) -> Column:
-    """struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), all long; null text counts as empty."""
+    """struct of all measures, long; null text counts as empty. What measures share is computed once."""
     text = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     counted = let(ascii_words(text), lambda w: F.struct(F.size(w).alias("n"), n_repeat_words(w).alias("r")))
+    by_line = let(lines, lambda x: F.struct(F.size(x).alias("n"), F.when(F.size(x) < 2, 0).otherwise(F.size(x) - F.size(F.array_distinct(x))).alias("d")))
+    long = lambda **columns: F.struct(*[c.cast("long").alias(k) for k, c in columns.items()])
     return let(
-        counted,
-        lambda c: F.struct(
-            c["n"].cast("long").alias("n_words"),
-            word_chars(text).cast("long").alias("word_chars"),
-            n_symbols(text).cast("long").alias("n_symbols"),
-            n_dup_lines(text).cast("long").alias("n_dup_lines"),
-            c["r"].cast("long").alias("n_repeat_words"),
+        F.struct(counted.alias("w"), by_line.alias("l")),
+        lambda c: long(
+            n_words=c["w"]["n"], word_chars=word_chars(text), n_symbols=n_symbols(text), n_dup_lines=c["l"]["d"], n_repeat_words=c["w"]["r"], n_lines=c["l"]["n"], n_capitals=n_capitals(text)
         ),
     )
 
 
+class Measures:
+    """A text's measures by name: those that are known already as columns, others computed from the text."""
+
+    def __init__(self, text: Column, known: Mapping[str, Column] | None = None) -> None:
+        self.text, self.known = text, known or {}
+
+    def __getitem__(self, name: str) -> Column:
+        return self.known[name] if name in self.known else MEASURES[name](self.text)
+
+
 @dataclass(frozen=True)
 class Rule:
-    """rejects(text) is true for a text that the rule turns down; text is never null."""
+    """rejects(measures) is true for a text that the rule turns down. rejection: its rate among the rows that the rules before it leave."""
 
     name: str
-    rejects: Callable[[Column], Column]
+    rejects: Callable[[Measures], Column]
     rejection: float = 0.0
     cost: float = 1.0
 
 
-def _n_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
-
-
 BASE_RULES = (
-    Rule("few_words", lambda t: _n_words(t) < 20),
-    Rule("repeated_windows", lambda t: let(ascii_words(t), lambda w: 100 * n_repeat_words(w) > 30 * F.size(w))),
+    Rule("few_words", lambda m: m["n_words"] < 20),
+    Rule("repeated_windows", lambda m: 100 * m["n_repeat_words"] > 30 * m["n_words"]),
 )
 #: Thresholds that ordinary prose is far from.
 METHOD_RULES = (
-    Rule("symbols", lambda t: 4 * n_symbols(t) > _n_words(t)),
-    Rule("word_length", lambda t: let(_n_words(t), lambda n: (word_chars(t) < 2 * n) | (word_chars(t) > 14 * n))),
-    Rule("shouting", lambda t: 2 * F.regexp_count(t, F.lit("[A-Z]")) > word_chars(t)),
-    Rule("repeated_lines", lambda t: 10 * n_dup_lines(t) > 3 * n_lines(t)),
+    Rule("symbols", lambda m: 4 * m["n_symbols"] > m["n_words"]),
+    Rule("word_length", lambda m: let(m["n_words"], lambda n: (m["word_chars"] < 2 * n) | (m["word_chars"] > 14 * n))),
+    Rule("shouting", lambda m: 2 * m["n_capitals"] > m["word_chars"]),
+    Rule("repeated_lines", lambda m: 10 * m["n_dup_lines"] > 3 * m["n_lines"]),
 )
 
 
-def _repeats_lines(text: Column) -> Column:
+def _repeats_lines(m: Measures) -> Column:
     """Of the lines with a word, more than three tenths equal an earlier one, and so do more than three tenths of their characters."""
     chars = lambda lines: F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x))
     repeats = lambda x: let(F.array_distinct(x), lambda y: (10 * (F.size(x) - F.size(y)) > 3 * F.size(x)) & (10 * (chars(x) - chars(y)) > 3 * chars(x)))
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    return F.when(F.contains(text, F.lit("\n")), let(lines, repeats)).otherwise(False)
+    lines = F.filter(F.split(m.text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    return F.when(F.contains(m.text, F.lit("\n")), let(lines, repeats)).otherwise(False)
 
 
 #: The pipeline's: repeated lines count by their characters as well, so that one short line that stands twice in a text of three
@@ -119,61 +148,86 @@ def _repeats_lines(text: Column) -> Column:
 PIPELINE_RULES = BASE_RULES + tuple(replace(r, rejects=_repeats_lines) if r.name == "repeated_lines" else r for r in METHOD_RULES)
 
 
-def plan_cascade(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = BASE_RULES + METHOD_RULES, *, sample_rows: int = 1000) -> list[Rule]:
-    """The rules with their rejection rate and cost on a sample, by rejection per cost, largest first.
+def order_rules(rules: Sequence[Rule], rows: Mapping[tuple[bool, ...], int]) -> list[Rule]:
+    """The rules with their costs, in the order of a cascade; rows: how many rows each combination of their verdicts has.
+
+    Greedy: of the rules left, the next is the one with most rejections per cost among the rows that none before it rejects;
+    ties, such as of rules that reject nothing more, go to the cheaper one, then to the order given.
+    """
+    left, order = dict(rows), []
+    while len(order) < len(rules):
+        total = sum(left.values())
+        rate = lambda k: sum(n for verdicts, n in left.items() if verdicts[k]) / total if total else 0.0  # noqa: B023, E731
+        best = min((k for k in range(len(rules)) if k not in {o for o, _ in order}), key=lambda k: (-rate(k) / rules[k].cost, rules[k].cost, k))
+        order.append((best, rate(best)))
+        left = {verdicts: n for verdicts, n in left.items() if not verdicts[best]}
+    return [replace(rules[k], rejection=r) for k, r in order]
+
+
+def plan_cascade(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = BASE_RULES + METHOD_RULES, *, known: Sequence[str] = (), sample_rows: int = 1000) -> list[Rule]:
+    """The rules, with the rejection rate and cost on a sample, in the order of a cascade.
 
     The sample has about sample_rows rows, picked by a hash of the row; it is written once, and each rule's cost
-    is its time there, beyond that of a pass without a rule. The order changes what a cascade costs, never its
-    verdict. An empty table leaves the order as it is.
+    is its time there, beyond that of a pass without a rule. Measures named in known are columns of docs and cost nothing
+    more. The order changes what a cascade costs, never its verdict. An empty table leaves the order as it is.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     total = docs.count()
-    keep = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], text), F.lit(max(1, total // max(1, sample_rows)))) == 0
-    sample = checkpointed(docs.where(keep).select(text.alias("text")))
+    keep = F.pmod(F.xxhash64(text, F.lit("sample")), F.lit(max(1, total // max(1, sample_rows)))) == 0
+    sample = checkpointed(docs.where(keep).select(text.alias("text"), *known))
+    measures = Measures(F.col("text"), {k: F.col(k) for k in known})
 
-    def timed(condition: Column) -> tuple[float, int, int]:
+    def timed(condition: Column) -> float:
         took = []
         for _ in range(2):
             began = time.perf_counter()
-            rows, hit = sample.agg(F.count("*"), F.count_if(condition)).first()
+            sample.agg(F.count_if(condition)).first()
             took.append(time.perf_counter() - began)
-        return min(took), rows, hit
+        return min(took)
 
-    empty, rows, _ = timed(F.length("text") < 0)
-    measured = []
-    for rule in rules:
-        took, _, hit = timed(rule.rejects(F.col("text")))
-        measured.append(replace(rule, rejection=hit / max(1, rows), cost=max(took - empty, 1e-4)))
-    return sorted(measured, key=lambda r: -r.rejection / r.cost) if rows else measured
+    verdicts = [F.coalesce(r.rejects(measures), F.lit(False)).alias(f"r{k}") for k, r in enumerate(rules)]
+    rows = {tuple(r[:-1]): r[-1] for r in sample.select(*verdicts).groupBy(*[f"r{k}" for k in range(len(rules))]).count().collect()}
+    if not rows:
+        return list(rules)
+    empty = timed(F.length("text") < 0)
+    return order_rules([replace(r, cost=max(timed(r.rejects(measures)) - empty, 1e-4)) for r in rules], rows)
 
 
-def first_rejection(text: Column, rules: Sequence[Rule]) -> Column:
+def first_rejection(text: Column, rules: Sequence[Rule], known: Mapping[str, Column] | None = None) -> Column:
     """The name of the first rule, in the order given, that rejects the text; null if none does. Later rules are not computed."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
+    measures = Measures(F.coalesce(text.cast("string"), F.lit("")), known)
     chain = F.lit(None).cast("string")
     for rule in reversed(rules):
-        chain = F.when(rule.rejects(text), F.lit(rule.name)).otherwise(chain)
+        chain = F.when(rule.rejects(measures), F.lit(rule.name)).otherwise(chain)
     return chain
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sample_rows: int = 1000) -> DataFrame:
-    """(doc_id, the five features, base_failed, kept), a row for each row of docs.
+    """(doc_id, five measures, base_failed, kept), a row for each row of docs.
 
-    Null text counts as empty, and so fails for its number of words. Repeated rows each get their row, an empty
-    table gives an empty one, columns other than the two named don't matter.
+    All measures are asked for, so they are computed once, and the cascade of base and method rules reads them. Null text
+    counts as empty, and so fails for its number of words; very long texts are taken whole. Repeated rows each get their
+    row, an empty table gives an empty one, columns other than the two named don't matter.
     """
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    order = plan_cascade(picked, "text", METHOD_RULES, sample_rows=sample_rows)
     found = picked.select("doc_id", "text", features(F.col("text")).alias("f"))
-    failed = (F.col("f.n_words") < 20) | (100 * F.col("f.n_repeat_words") > 30 * F.col("f.n_words"))
-    kept = F.when(failed, False).otherwise(first_rejection(F.col("text"), order).isNull())
-    return found.select("doc_id", "f.*", failed.alias("base_failed"), kept.alias("kept"))
+    order = plan_cascade(found.select("text", "f.*"), "text", BASE_RULES + METHOD_RULES, known=list(MEASURES), sample_rows=sample_rows)
+    known = {k: F.col(f"f.{k}") for k in MEASURES}
+    failed = F.lit(False)
+    for rule in BASE_RULES:
+        failed = failed | rule.rejects(Measures(F.col("text"), known))
+    kept = first_rejection(F.lit(""), order, known).isNull()
+    return found.select("doc_id", *[f"f.{k}" for k in list(MEASURES)[:5]], failed.alias("base_failed"), kept.alias("kept"))
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", *, rules: Sequence[Rule] = BASE_RULES + METHOD_RULES, sample_rows: int = 1000) -> DataFrame:
-    """The rows of docs, all columns, whose text no rule rejects. Null text counts as empty."""
-    order = plan_cascade(docs, text_col, rules, sample_rows=sample_rows)
-    return docs.where(first_rejection(F.col(text_col), order).isNull())
+    """The rows of docs, all columns, whose text no rule rejects; a rule's measures are computed where the cascade comes to it.
+
+    Null text counts as empty, very long texts are taken whole. Repeated rows each stay or go, an empty table gives an empty
+    one, columns may have any name.
+    """
+    order = plan_cascade(docs.select(F.col(f"`{text_col}`").alias("text")), "text", rules, sample_rows=sample_rows)
+    return docs.where(first_rejection(F.col(f"`{text_col}`"), order).isNull())
 
 
 ORACLE = r"""
