@@ -20,7 +20,7 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five rules; their URLs also train the model for the others."""
+    """The five rules; for the other URLs the model of the labelled table."""
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
 
 

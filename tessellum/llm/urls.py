@@ -1,13 +1,15 @@
 """URL filter: rules on host and path, and logistic regression on hashed character n-grams for what no rule covers.
 
-The labelled table is small: URLs with a known verdict, here those that a rule covers. At most ROWS different ones
-train the model, in numpy on the driver; it is one vector of SLOTS weights that each worker applies to its rows.
+The labelled table is small: URLs with a known verdict, by default those of labelled_urls.csv beside this file, of
+invented hosts. At most ROWS different ones train the model, in numpy on the driver; it is one vector of SLOTS weights
+that each worker applies to its rows, a batch at once.
 """
 
 from __future__ import annotations
 
-import zlib
+import csv
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,7 @@ ROWS = 4000
 SLOTS = 1 << 16
 GRAMS = (3, 4, 5)
 STEPS = 300
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -42,14 +45,34 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return rule, verdict
 
 
-def slots(host: str, path: str, n: int = SLOTS) -> np.ndarray:
-    """The different slots of the n-grams of host and path, each with its ends marked; host and path don't share n-grams."""
-    found = set()
-    for mark, text in ((b"h", f"^{host}$"), (b"p", f"^{path}$")):
-        raw = text.encode("utf-8", "surrogatepass")
+def labelled_urls() -> list[tuple[str, str, bool]]:
+    """(host, path, to block) of the table beside this file."""
+    with Path(__file__).with_name("labelled_urls.csv").open(newline="") as file:
+        return [(*_parted(row["url"]), row["verdict"] == "block") for row in csv.DictReader(file)]
+
+
+def _parted(url: str) -> tuple[str, str]:
+    host, slash, path = url.partition("/")
+    return host, slash + path
+
+
+def slots(hosts: Sequence[str], paths: Sequence[str], n: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, slot), sorted, of the different slots of each row's n-grams of host and path, each with its ends marked; host and path don't share n-grams."""
+    found = [np.zeros(0, np.int64)]
+    for mark, texts in ((1, hosts), (2, paths)):
+        raw = [f"^{t}$".encode("utf-8", "surrogatepass") for t in texts]
+        code = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+        owner = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
         for k in GRAMS:
-            found.update(zlib.crc32(raw[i : i + k], mark[0]) % n for i in range(len(raw) - k + 1))
-    return np.fromiter(sorted(found), np.int64, len(found))
+            m = max(0, len(code) - k + 1)
+            h = np.full(m, mark * 16 + k, np.uint64)
+            for j in range(k):
+                h = (h ^ code[j : j + m]) * _STEP
+                h ^= h >> np.uint64(29)
+            whole = owner[:m] == owner[len(owner) - m :]
+            found.append((owner[:m] * n + (h % np.uint64(n)).astype(np.int64))[whole])
+    both = np.unique(np.concatenate(found))
+    return both // n, both % n
 
 
 class Model:
@@ -58,27 +81,26 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
 
-    def score(self, host: str, path: str) -> float:
-        """Probability that the URL is one to block."""
-        x = slots(host, path, len(self.weights))
-        return float(1 / (1 + np.exp(-(self.bias + self.weights[x].sum() / np.sqrt(max(1, len(x)))))))
+    def scores(self, hosts: Sequence[str], paths: Sequence[str]) -> np.ndarray:
+        """Probability that each URL is one to block."""
+        row, col = slots(hosts, paths, len(self.weights))
+        size = np.maximum(1, np.bincount(row, minlength=len(hosts)))
+        return 1 / (1 + np.exp(-(self.bias + np.bincount(row, weights=self.weights[col], minlength=len(hosts)) / np.sqrt(size))))
 
     @classmethod
     def fit(cls, rows: Sequence[tuple[str, str, bool]], n: int = SLOTS, steps: int = STEPS, l2: float = 1e-4) -> Model:
         """Gradient descent on (host, path, to block); no rows: bias zero, which blocks nothing."""
         if not rows:
             return cls(np.zeros(n), 0.0)
-        at = [slots(h, p, n) for h, p, _ in rows]
-        size = np.array([max(1, len(a)) for a in at])
-        row, col = np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate(at)
-        value = 1 / np.sqrt(size)[row]
+        row, col = slots([h for h, *_ in rows], [p for _, p, _ in rows], n)
+        value = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=len(rows))))[row]
         y = np.array([b for *_, b in rows], float)
         share = (y.sum() + 1) / (len(y) + 2)
         w, bias = np.zeros(n), float(np.log(share / (1 - share)))
         speed = np.zeros(n)
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-(bias + np.bincount(row, weights=value * w[col], minlength=len(at)))))
-            slope = np.bincount(col, weights=value * (p - y)[row], minlength=n) / len(at) + l2 * w
+            p = 1 / (1 + np.exp(-(bias + np.bincount(row, weights=value * w[col], minlength=len(rows)))))
+            slope = np.bincount(col, weights=value * (p - y)[row], minlength=n) / len(rows) + l2 * w
             speed = 0.9 * speed - 2.0 * slope
             w, bias = w + speed, bias - float((p - y).mean())
         return cls(w, bias)
@@ -94,20 +116,20 @@ def train(labelled: DataFrame, rows: int = ROWS) -> Model:
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", *, rules: Sequence[tuple[str, str]] = RULES, labelled: DataFrame | None = None, rows: int = ROWS) -> DataFrame:
     """(page_id, host, path, rule, verdict, score), a row for each row of pages.
 
-    verdict: the longest fitting rule's, else the model's: block if score is above one half. score: the model's, for
-    every row. labelled: (host, path, verdict) to learn from; by default the URLs of pages that a rule covers. A null
-    URL has empty host and path and is judged by the model. Repeated rows and null ids keep their rows; an empty table
-    gives an empty one; columns other than the two named are not read.
+    verdict: the longest fitting rule's, of two equal ones the last; else the model's: block if score is above one half.
+    score: the model's, for every row. labelled: (host, path, verdict) to learn from, by default labelled_urls(). A null
+    URL has empty host and path and is judged by the model; very long ones are taken whole. Repeated rows and null ids keep
+    their rows; an empty table gives an empty one; columns other than the two named are not read.
     """
     host, path = host_and_path(F.col(url_col))
     each = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     each = each.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
-    known = pages.sparkSession.sparkContext.broadcast(train(each if labelled is None else labelled, rows))
+    known = pages.sparkSession.sparkContext.broadcast(Model.fit(labelled_urls()) if labelled is None else train(labelled, rows))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            score = np.array([known.value.score(h, p) for h, p in zip(batch["host"], batch["path"], strict=True)], float)
+            score = known.value.scores(batch["host"].tolist(), batch["path"].tolist())
             batch["verdict"] = batch["verdict"].where(batch["verdict"].notna(), np.where(score > 0.5, "block", "allow"))
             yield batch.assign(score=score)
 

@@ -106,7 +106,40 @@ def test_urls_rules_parts_and_model(spark):
     assert [(r.host, r.path) for r in found[4:]] == [("netx", "/es/"), ("", ""), ("", ""), ("com", ""), ("c.org", "/a"), ("a.b", "")]
     train = [(f"h{i}.x", "/good/", False) for i in range(50)] + [(f"h{i}.x", "/evil/", True) for i in range(50)]
     model = urls.Model.fit(train)
-    assert model.score("new.y", "/evil/") > 0.5 > model.score("new.y", "/good/")
+    bad, good = model.scores(["new.y", "new.y"], ["/evil/", "/good/"])
+    assert bad > 0.5 > good
+
+
+def test_urls_slots_and_scores_equal_brute_force():
+    def plain(host, path, n):
+        out = set()
+        for mark, text in ((1, host), (2, path)):
+            raw = f"^{text}$".encode()
+            for k in urls.GRAMS:
+                for i in range(len(raw) - k + 1):
+                    h = mark * 16 + k
+                    for c in raw[i : i + k]:
+                        h = (h ^ c) * 0x9E3779B97F4A7C15 % 2**64
+                        h ^= h >> 29
+                    out.add(h % n)
+        return out
+
+    table = urls.labelled_urls() + [("", "", False), ("ünï.de", "/ß", True)]
+    row, col = urls.slots([h for h, *_ in table], [p for _, p, _ in table], 4096)
+    assert all({int(c) for c in col[row == i]} == plain(h, p, 4096) for i, (h, p, _) in enumerate(table))
+    model = urls.Model.fit(urls.labelled_urls())
+    for (h, p, _), score in zip(table, model.scores([h for h, *_ in table], [p for _, p, _ in table]), strict=True):
+        at = plain(h, p, urls.SLOTS)
+        assert math.isclose(score, 1 / (1 + math.exp(-(model.bias + sum(model.weights[x] for x in at) / math.sqrt(max(1, len(at)))))), rel_tol=1e-9)
+
+
+def test_urls_model_knows_held_out_labelled_urls():
+    table, right = urls.labelled_urls(), 0
+    for fold in range(5):
+        test = table[fold::5]
+        model = urls.Model.fit([x for i, x in enumerate(table) if i % 5 != fold])
+        right += sum((s > 0.5) == b for s, (*_, b) in zip(model.scores([h for h, *_ in test], [p for _, p, _ in test]), test, strict=True))
+    assert len(table) < 200 and right >= 0.85 * len(table), right / len(table)
 
 
 def test_mixing_meets_targets_and_reruns_agree(spark, real):
