@@ -1,32 +1,30 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-A block is 2 * step consecutive words, one begins every step words, so that any passage of step words lies in one; the
-step is STEP, or the number of words of the longest template if that is more.
-A block meets a template if it holds at least ceil(THRESHOLD * size) of the template's distinct words. All tokens
-are ordered by their document frequency over the whole corpus, rarest first, and then
-- prefix: a block that meets a template of n tokens in a of them holds one of its first n - a + 1;
-- length: it has at least a template tokens;
-- position: after the first common token, at places i and j, both have at least a - 1 tokens left.
-What passes is counted exactly. The inverted index of prefixes is a literal, so documents are not shuffled.
+A template of L words is looked for in blocks of about 1.25 * L consecutive words, one of which begins every L / 4 words,
+so that any passage of L words lies in one; templates of fewer than 8 words have blocks of just L words, at every word.
+A block meets a template if it holds at least ceil(THRESHOLD * n) of the template's n distinct words. All tokens
+are ordered by their document frequency over the whole corpus, rarest first, and then, with a the least overlap,
+- prefix: a block that meets a template of n tokens holds one of its first n - a + 1, so only blocks around those are looked at;
+- length: it has at least a distinct words of the template's vocabulary;
+- position: after the first common token, at place i of the template's, there are at least a - 1 left.
+What passes is counted exactly. Templates are literals, so documents are not shuffled.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellum.llm.common import ascii_lower, let
 
-STEP = 64
 THRESHOLD = 0.85
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Public license notices, the key's part before a dot is the label. At most STEP words each.
+#: Public license notices and texts, the key's part before a dot is the label.
 TEMPLATES = {
     "apache.short": "Licensed under the Apache License, Version 2.0.",
     "apache.header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
@@ -37,6 +35,26 @@ TEMPLATES = {
     "gpl.header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "mit.short": "Released under the MIT License.",
     "mit.grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+    "mit.full": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without "
+        "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+        "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        "Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "isc.full": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission "
+        "notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY "
+        "AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "bsd.full": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must "
+        "retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+        "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "
+        "\"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    ),
     "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
@@ -53,9 +71,11 @@ def _tokens(template: str) -> list[str]:
     return list(dict.fromkeys(_words(template)))
 
 
-def step_of(templates: Mapping[str, str]) -> int:
-    """Words from one block to the next: no template has more."""
-    return max([STEP, *(len(_words(v)) for v in templates.values())])
+def shape(template: str) -> tuple[int, int]:
+    """(words from one block to the next, words of a block)."""
+    n = len(_words(template))
+    step = n // 4 if n >= 8 else 1
+    return step, n + step - 1
 
 
 def _strings(values: list[str]) -> Column:
@@ -74,43 +94,29 @@ def token_order(words: DataFrame, vocabulary: list[str]) -> list[str]:
 
 
 def matches(words: Column, order: list[str], templates: Mapping[str, str], threshold: float) -> Column:
-    """array of struct(template, overlap, containment): each block's templates that meet the threshold; words is a lambda variable."""
+    """array of struct(label, containment): of each template that a block meets, the best; words is a lambda variable."""
     place = {t: i for i, t in enumerate(order)}
-    sets = {k: sorted(_tokens(v), key=place.__getitem__) for k, v in templates.items()}
-    need = {k: math.ceil(threshold * len(v) - 1e-9) for k, v in sets.items()}
-    index: dict[str, list[Column]] = {}
-    for k, tokens in sets.items():
-        for i, token in enumerate(tokens[: len(tokens) - need[k] + 1]):
-            entry = F.struct(F.lit(k).alias("template"), _strings(tokens).alias("tokens"), F.lit(i).alias("i"), F.lit(need[k]).alias("need"))
-            index.setdefault(token, []).append(entry)
-    step = step_of(templates)
-    rare = [t for t in order if t in index]
-    lists = F.create_map(*chain.from_iterable((F.lit(t), F.array(*index[t])) for t in rare))
-    vocabulary = _strings(order)
-
-    def of_block(block: Column) -> Column:
-        def with_token(token: Column) -> Column:
-            j = F.array_position(block, token) - 1
-
-            def passes(t: Column) -> Column:
-                length = F.size(block) >= t["need"]
-                position = F.least(F.size(t["tokens"]) - t["i"], F.size(block) - j) >= t["need"]
-                first = ~F.arrays_overlap(F.slice(t["tokens"], 1, t["i"]), F.slice(block, F.lit(1), j.cast("int")))
-                return length & position & first
-
-            return F.filter(F.element_at(lists, token), passes)
-
-        candidates = F.flatten(F.transform(F.array_intersect(_strings(rare), block), with_token))
-        counted = F.transform(candidates, lambda t: F.struct(t["template"], t["need"], F.size(t["tokens"]).alias("n"), F.size(F.array_intersect(t["tokens"], block)).alias("overlap")))
-        return F.filter(counted, lambda t: t["overlap"] >= t["need"])
-
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(words) / step).cast("int") - 2, F.lit(0))),
-        lambda k: F.array_intersect(vocabulary, F.slice(words, k * step + 1, F.lit(2 * step))),
-    )
-    hits = F.flatten(F.transform(blocks, of_block))
-    kept = F.transform(hits, lambda t: F.struct(F.substring_index(t["template"], ".", 1).alias("label"), (t["overlap"] / t["n"]).alias("containment")))
-    return F.when(F.arrays_overlap(words, _strings(rare)), kept)
+    none = F.array().cast("array<struct<label:string,containment:double>>")
+
+    def of(name: str, template: str) -> Column:
+        tokens = sorted(_tokens(template), key=place.__getitem__)
+        need = math.ceil(threshold * len(tokens) - 1e-9)
+        prefix, (step, size) = _strings(tokens[: len(tokens) - need + 1]), shape(template)
+
+        def overlap(start: Column) -> Column:
+            held = F.array_intersect(_strings(tokens), F.slice(words, start + 1, F.lit(size)))
+            left = lambda h: F.lit(len(tokens)) - F.array_position(_strings(tokens), F.get(h, 0)) + 1
+            return let(held, lambda h: F.when((F.size(h) >= need) & (left(h) >= need), F.size(h)).otherwise(0))
+
+        # the blocks that hold a token of the prefix
+        around = lambda p: F.sequence(F.greatest(F.ceil((p - size + 1) / step), F.lit(0)), F.floor(p / step))
+        places = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(prefix, w), i)), lambda p: p.isNotNull())
+        starts = F.array_distinct(F.flatten(F.transform(places, around)))
+        best = F.array_max(F.transform(starts, lambda k: overlap((k * step).cast("int"))))
+        hit = let(best, lambda n: F.when(n > 0, F.array(F.struct(F.lit(name.split(".")[0]).alias("label"), (n / len(tokens)).alias("containment")))).otherwise(none))
+        return F.when(F.arrays_overlap(words, prefix), hit).otherwise(none)
+
+    return F.concat(*[of(k, v) for k, v in templates.items()])
 
 
 def phrase_places(words: Column) -> Column:
@@ -135,9 +141,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tem
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), a row for each row of docs.
 
     score: the largest containment of a template that a block meets, 0 if none does. Templates may be of any length, such
-    as whole license texts: blocks are as long as the longest needs. Null text counts as empty: no
-    words, null places, empty labels. Repeated rows each get their row, an empty table gives an empty one; columns
-    other than the two named are not read.
+    as whole license texts: a template's blocks are about as long as it is. Null text counts as empty: no
+    words, null places, empty labels; very long texts are taken whole. Templates that tie both give their label. Repeated
+    rows each get their row, an empty table gives an empty one; columns other than the two named are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), license_words(F.col(text_col)).alias("words"))
     order = token_order(rows, sorted({t for v in templates.values() for t in _tokens(v)}))
@@ -163,20 +169,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tem
 
 
 def _oracle() -> str:
-    rows = ", ".join(
-        "('{}', [{}], {})".format(k.split(".")[0], ", ".join(f"'{t}'" for t in _tokens(v)), math.ceil(THRESHOLD * len(_tokens(v)) - 1e-9)) for k, v in TEMPLATES.items()
-    )
+    def row(key: str, text: str) -> str:
+        tokens, (step, size) = _tokens(text), shape(text)
+        return "('{}', [{}], {}, {}, {})".format(key.split(".")[0], ", ".join(f"'{t}'" for t in tokens), math.ceil(THRESHOLD * len(tokens) - 1e-9), step, size)
+
+    rows = ", ".join(row(k, v) for k, v in TEMPLATES.items())
     phrases = ", ".join(f"('{p}', '{x}', {len(p.split())})" for p, x in PHRASES.items())
     return rf"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents
-), t(label, tokens, need) AS (VALUES {rows}
+), t(label, tokens, need, step, size) AS (VALUES {rows}
 ), b AS (
-  SELECT doc_id, list_distinct(ws[k * {STEP} + 1 : k * {STEP} + {2 * STEP}]) AS block
-  FROM (SELECT doc_id, ws, unnest(range(0, greatest(CAST(ceil(len(ws) / {STEP}) AS BIGINT) - 1, 1))) AS k FROM w)
+  SELECT doc_id, label, tokens, need, list_distinct(ws[k * step + 1 : k * step + size]) AS block
+  FROM (SELECT *, unnest(range(0, CAST(ceil(len(ws) / step) AS BIGINT))) AS k FROM w, t WHERE len(list_intersect(list_distinct(ws), tokens)) >= need)
 ), hit AS (
-  SELECT doc_id, label, len(list_intersect(block, tokens)) / len(tokens) AS c FROM b, t WHERE len(list_intersect(block, tokens)) >= need
+  SELECT doc_id, label, len(list_intersect(block, tokens)) / len(tokens) AS c FROM b WHERE len(list_intersect(block, tokens)) >= need
 ), p(phrase, label, n) AS (VALUES {phrases}
 ), base AS (
   SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE list_contains(ws, 'license')), p
