@@ -2,8 +2,8 @@
 
 A recording is raw 8-bit PCM. Its spectrum is folded into 12 pitch classes a frame; filters on the integral image of
 frames by pitch classes compare rectangles, and each filter's answer, quantised to two bits in Gray code, is a part
-of one packed 32-bit integer a frame. Two recordings are aligned by a histogram of the offsets between equal
-halves of integers; the share of different bits in the overlap at the fullest offset decides.
+of one packed 32-bit integer a frame. Two recordings are aligned by a histogram of the offsets between all equal
+halves of integers, counted by runs of one value; the share of different bits in the overlap at the fullest offset decides.
 """
 
 from __future__ import annotations
@@ -31,9 +31,8 @@ CUTS = [
     (-0.039, 0.001, 0.045), (-0.047, 0.0, 0.047), (-0.078, 0.0, 0.077), (-0.087, 0.0, 0.087),
     (0.209, 0.239, 0.27), (-0.048, 0.0, 0.048), (0.698, 0.832, 0.972), (-0.101, 0.0, 0.099),
 ]
-#: An integer votes by its lower and its upper BITS, so that a few wrong bits leave a vote; of the values, those vote of
-#: which a hash is 0 modulo VOTERS, but all in recordings of fewer than FEW integers.
-BITS, VOTERS, FEW = 18, 2, 64
+#: An integer votes by its lower and its upper BITS, so that a few wrong bits leave a vote.
+BITS = 18
 #: Rows of one side of a tile.
 QUERIES, ROWS = 8192, 16384
 #: Votes, or integers, compared in one go.
@@ -102,21 +101,27 @@ def with_integers(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).cast("binary").alias("media")).mapInArrow(run, "doc_id long, items binary")
 
 
-def _voters(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(value, recording, place) of the first places of the values that vote, each integer's lower and upper BITS, sorted by value."""
-    value, owner, place = [], [], []
+def _runs(items: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(value, recording, start, length) of all runs of one value, of each integer's lower and of its upper BITS, sorted by value."""
+    found = [(np.zeros(0, np.int64),) * 4]
     for i, x in enumerate(items):
         for high, part in ((0, x & np.uint32((1 << BITS) - 1)), (1 << BITS, x >> np.uint32(32 - BITS))):
-            once, first = np.unique(part, return_index=True)
-            if len(x) >= FEW:
-                keep = (once * np.uint32(2654435761) >> np.uint32(16)) % VOTERS == 0
-                once, first = once[keep], first[keep]
-            value.append(once + np.uint32(high))
-            owner.append(np.full(len(once), i))
-            place.append(first)
-    value, owner, place = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (value, owner, place))
-    order = np.argsort(value, kind="stable")
-    return value[order], owner[order], place[order]
+            start = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
+            found.append((part[start].astype(np.int64) + high, np.full(len(start), i), start, np.diff(np.append(start, len(part)))))
+    columns = [np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True)]
+    order = np.argsort(columns[0], kind="stable")
+    return tuple(c[order] for c in columns)
+
+
+def _bends(key: np.ndarray, first: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, weight), summed: where the histograms' slopes change. Two runs of n and m equal values make a trapezoid from `first` on; key + offset is unique.
+
+    The place before each is there as well, with no weight, as a slope's top may be there.
+    """
+    at = np.concatenate([key + first + x for x in (0, np.minimum(n, m), np.maximum(n, m), n + m)])
+    keys, where = np.unique(np.concatenate([at, at - 1]), return_inverse=True)
+    one = np.ones(len(n))
+    return keys, np.bincount(where, weights=np.concatenate([one, -one, -one, one, np.zeros(len(at))]), minlength=len(keys))
 
 
 def _errors(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,29 +146,38 @@ def _errors(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarr
 
 def align(queries: list[np.ndarray], rows: list[np.ndarray], most_error: float, least_overlap: int) -> tuple[np.ndarray, ...]:
     """(query, row, offset, error) of all pairs that align."""
-    value, owner, place = _voters(rows)
-    q_value, q_owner, q_place = _voters(queries)
+    value, owner, place, length = _runs(rows)
+    q_value, q_owner, q_place, q_length = _runs(queries)
     order = np.lexsort((q_place, q_owner))
-    q_value, q_owner, q_place = q_value[order], q_owner[order], q_place[order]
+    q_value, q_owner, q_place, q_length = q_value[order], q_owner[order], q_place[order], q_length[order]
     lo, hi = np.searchsorted(value, q_value, "left"), np.searchsorted(value, q_value, "right")
+    half = max([2, *map(len, queries)]) + max([2, *map(len, rows)])  # no offset, nor the place after or before one, is farther from zero
+    span = 2 * half + 1
     found: list[tuple[np.ndarray, ...]] = []
     ends = np.cumsum(hi - lo)
     first = np.flatnonzero(np.diff(q_owner, prepend=-1)) if len(q_owner) else np.zeros(0, np.int64)
     at = 0
-    while at < len(first):  # whole queries, of about PART votes
+    while at < len(first):  # whole queries, of about PART pairs of runs
         begin = first[at]
         upto = np.searchsorted(ends[np.append(first[1:], len(ends)) - 1], (ends[begin - 1] if begin else 0) + PART, "right")
         at = max(at + 1, int(upto))
         stop = first[at] if at < len(first) else len(ends)
-        n = (hi - lo)[begin:stop]
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[begin:stop], n)
-        q, row = np.repeat(q_owner[begin:stop], n), owner[k]
-        offset = place[k] - np.repeat(q_place[begin:stop], n)
-        if not len(q):
+        keys, bends = np.zeros(0, np.int64), np.zeros(0)
+        for cut in np.split(np.arange(begin, stop), np.searchsorted(ends[begin:stop], np.arange(ends[begin] + PART, ends[stop - 1], PART))):
+            n = (hi - lo)[cut]
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[cut], n)
+            pair = np.repeat(q_owner[cut], n) * len(rows) + owner[k]
+            start, size = np.repeat(q_place[cut], n), np.repeat(q_length[cut], n)
+            more = _bends(pair * span + half, place[k] - start - size + 1, size, length[k])
+            keys, where = np.unique(np.concatenate([keys, more[0]]), return_inverse=True)
+            bends = np.bincount(where, weights=np.concatenate([bends, more[1]]), minlength=len(keys))
+        if not len(keys):
             continue
-        span = 1 << 21
-        key, votes = np.unique((q * len(rows) + row) * span + offset + span // 2, return_counts=True)
-        pair, offset = key // span, key % span - span // 2
+        pair, offset = keys // span, keys % span - half
+        slope = np.cumsum(bends)  # each pair's bends sum up to zero, so the next pair begins level
+        step = np.diff(offset, prepend=0)
+        new = np.diff(pair, prepend=-1) != 0
+        votes = np.cumsum(np.where(new, slope, np.append(0, slope[:-1]) * (step - 1) + slope))
         best = np.lexsort((np.abs(offset), -votes, pair))
         best = best[np.diff(pair[best], prepend=-1) != 0]
         q, row, offset = pair[best] // len(rows), pair[best] % len(rows), offset[best]
@@ -182,8 +196,8 @@ def search(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", *
     recordings that align with theirs, and best_* is the one of least error, ties by id; offset is in frames. They are
     null for other rows. Recordings align if at most most_error of the bits differ in their overlap, which must have
     least_overlap integers and half of the shorter recording; shorter ones align with nothing but are grouped if equal.
-    n_aligned is 0 and best_* null where nothing aligns. Null or empty media have no integers and
-    align with nothing. Rows with a null id find themselves in their recording, and count; a recording of null ids only
+    n_aligned is 0 and best_* null where nothing aligns. Only the fullest offset of two recordings is compared, of equally full
+    ones the least. Null or empty media have no integers and align with nothing; very long ones are taken whole. Rows with a null id find themselves in their recording, and count; a recording of null ids only
     has no name and is not searched. Repeated rows each get their row; an empty table gives an empty one.
 
     Queries and recordings meet in tiles of QUERIES by ROWS, so all queries see all recordings, no task more than a

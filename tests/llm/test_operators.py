@@ -279,6 +279,41 @@ def test_media_finds_aligned_recordings():
     assert dict(zip(zip(q.tolist(), r.tolist(), strict=True), offset.tolist(), strict=True))[0, 40] == 0
 
 
+def test_media_votes_count_all_equal_places():
+    random = np.random.default_rng(5)
+    for _ in range(30):
+        a, b = (np.repeat(random.integers(0, 4, 12), random.integers(1, 9, 12)).astype(np.uint32) for _ in range(2))
+        full = Counter()
+        for high in (0, 1):
+            x, y = ((v >> np.uint32(14) if high else v & np.uint32((1 << 18) - 1)) for v in (a, b))
+            for i in range(len(x)):
+                for j in range(len(y)):
+                    full[j - i] += int(x[i] == y[j])
+        (_,), (_,), (offset,), _ = media.align([a], [b], 1.0, 0)[:4] if len(media.align([a], [b], 1.0, 0)[0]) else ([0], [0], [None], 0)
+        top = max(full.values())
+        if offset is not None:
+            assert full[int(offset)] == top and abs(offset) == min(abs(o) for o, n in full.items() if n == top)
+
+
+def test_media_recall_on_texts_and_repetitive_recordings(real):
+    random = np.random.default_rng(6)
+    texts = [r.text.encode() for r in real.where("text is not null").limit(120).collect()]
+    texts += [(b"the same line again and again\n" * 60) + bytes(random.integers(97, 123, 500).tolist()) for _ in range(2)] + [b"a" * 6000, b"a" * 3000 + texts[0], b"ab" * 2000]
+    texts += [t[64 * k :] for k, t in enumerate(texts[:25])] + [t[: len(t) - 7 * k] for k, t in enumerate(texts[40:60])]
+    items = [x for x in (media.integers(np.frombuffer(t, np.uint8)) for t in texts) if len(x)]
+    q, r, *_ = media.align(items, items, 0.2, 16)
+    found, true = {(int(a), int(b)) for a, b in zip(q, r, strict=True)}, set()
+    for a, x in enumerate(items):
+        for b, y in enumerate(items):
+            for off in range(-len(x) + 16, len(y) - 15):
+                s = max(0, -off)
+                n = min(len(x), len(y) - off) - s
+                if n >= max(16, min(len(x), len(y)) / 2) and np.bitwise_count(x[s : s + n] ^ y[s + off : s + off + n]).sum() / 32 / n <= 0.2:
+                    true.add((a, b))
+                    break
+    assert found <= true and len(found) >= 0.9 * len(true) and sum(a != b for a, b in true) >= 30
+
+
 def test_media_search_counts_copies(spark):
     random = np.random.default_rng(2)
     a, b = bytes(random.integers(0, 256, 4000).tolist()), bytes(random.integers(0, 256, 4000).tolist())
