@@ -39,6 +39,8 @@ BLOCK = 512
 #: similarity asked for, above its mean, that the budget has; least bits of a slice; and a slice value has about
 #: 2 ** CROWD classes by chance, so that slices get wider as classes get more.
 COMPARED, DEVIATIONS, LEAST_SLICE, CROWD = 4, 3.5, 13, 8
+#: Slices in which its forest is looked for.
+FIRST = 12
 _LANES = np.uint64(0x0101010101010101)
 _WEYL = 0x9E3779B97F4A7C15
 
@@ -264,11 +266,15 @@ def spanning(label: np.ndarray, i: np.ndarray, j: np.ndarray, far: np.ndarray) -
         union(label, i[picked], j[picked])
 
 
-def _linked(group: pa.Table, budget: int, similarity: float | None) -> pa.Table:
-    """The links of a shard's tries. Without a similarity as few as join what is near, each row to the least of its set.
+def _linked(group: pa.Table, budget: int, what: str, similarity: float) -> pa.Table:
+    """(a, b) of a shard's tries. what:
 
-    With one, rows whose sizes n, or numbers of shingles that others may share, rule it out are no pair. The links are
-    spanning ones over nearest pairs; or, if rows have a component, the pairs of components that hold a near pair.
+    - "classes": as few links as join what is near, each row to the least of its set;
+    - "forest": spanning links over nearest pairs;
+    - "rows": each row that is near another, of another component if rows have one, as both a and b;
+    - "components": the pairs of components that hold a near pair.
+
+    With a similarity above 0, rows whose sizes n, or numbers of shingles that others may share, rule it out are no pair.
     """
     column = lambda name: group[name].combine_chunks().to_numpy(zero_copy_only=False)
     ids = column("id")
@@ -287,53 +293,56 @@ def _linked(group: pa.Table, budget: int, similarity: float | None) -> pa.Table:
     b = np.where(alone[:, None], a, np.column_stack([mid, hi]))
     keep = (b[:, 1] > b[:, 0]) & (a[:, 1] > a[:, 0])
     # a class stands in many tries of the shard: all its places are one label from the start
-    every = "component" in group.column_names
-    names = column("component")[order] if every else ids
+    parted = "component" in group.column_names
+    names = column("component")[order] if parted else ids
     _, first, same = np.unique(names, return_index=True, return_inverse=True)
     least = np.full(len(first), len(ids))
     np.minimum.at(least, same, np.arange(len(ids)))
     label = least[same]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    if similarity is None:
-        walk(fp, a[keep], b[keep], budget, label, lambda i, j, far: union(label, i, j))
-        found.append((ids, ids[label]))
-    else:
-        size, shared = column("n")[order].astype(np.int64), column("shared")[order].astype(np.int64)
-
-        def visit(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> None:
-            may = np.minimum(shared[i], shared[j]) >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-9
-            i, j, far = i[may], j[may], far[may]
-            if every:
-                ends = np.unique(np.column_stack([np.minimum(names[i], names[j]), np.maximum(names[i], names[j])]), axis=0)
-                found.append((ends[:, 0], ends[:, 1]))
-            else:
-                found.extend((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])) for x, y in spanning(label, i, j, far))
-
-        walk(fp, a[keep], b[keep], budget, label, visit)
-    ends = pa.table({"a": np.concatenate([np.zeros(0, np.int64), *[x for x, _ in found]]), "b": np.concatenate([np.zeros(0, np.int64), *[y for _, y in found]])})
-    return ends.filter(pc.not_equal(ends["a"], ends["b"])).group_by(["a", "b"]).aggregate([])
-
-
-def trie_links(classes: DataFrame, cut: Sequence[tuple[int, int, int]], compare: int, budget: int, total: int, similarity: float | None = None) -> DataFrame:
-    """Links (a, b) between classes (id, fp) whose fingerprints differ in at most `budget` of the first `compare` words' bits and agree on a slice of cut.
-
-    They are spanning links: what is linked within the tries is joined by them, without listing each pair. With a
-    similarity, classes have a set's size n, too, and how many of its shingles others may share; and if they have a
-    component, the links are the pairs of components that hold a near pair.
-    total: the number of classes, for the number of groups. A slice value that many classes share is dealt
+    size, shared = column("n")[order].astype(np.int64), column("shared")[order].astype(np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    near = np.zeros(len(ids), bool)
+
+    def visit(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> None:
+        may = np.minimum(shared[i], shared[j]) >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-9
+        i, j, far = i[may], j[may], far[may]
+        near[i] = near[j] = True
+        if what == "components":
+            ends = np.unique(np.column_stack([np.minimum(names[i], names[j]), np.maximum(names[i], names[j])]), axis=0)
+            found.append((ends[:, 0], ends[:, 1]))
+        elif what == "forest":
+            found.extend((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])) for x, y in spanning(label, i, j, far))
+        elif not parted:
+            union(label, i, j)
+
+    walk(fp, a[keep], b[keep], budget, label, visit)
+    if what == "classes":
+        apart = ids != ids[label]
+        found.append((ids[apart], ids[label][apart]))
+    elif what == "rows":
+        found.append((ids[near], ids[near]))
+    return pa.table({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])}).group_by(["a", "b"]).aggregate([])
+
+
+def trie_links(classes: DataFrame, cut: Sequence[tuple[int, int, int]], compare: int, budget: int, total: int, what: str = "classes", similarity: float = 0.0) -> DataFrame:
+    """Pairs (a, b), as _linked() says, of classes (id, fp) whose fingerprints differ in at most `budget` of the first `compare` words' bits and agree on a slice of cut.
+
+    Classes may have a set's size n, how many of its shingles others may share, and a component, whose own pairs are left
+    out. total: the number of classes, for the number of groups. A slice value that many classes share is dealt
     out as pairs of parts of TILE classes.
     """
-    keep = [c for c in classes.columns if c in ("n", "shared", "component")]
+    keep = [F.col(c).cast("int") if c in classes.columns else F.lit(0).alias(c) for c in ("n", "shared")] + [F.col(c) for c in classes.columns if c == "component"]
     keys = F.array(*[F.shiftrightunsigned(F.col("fp")[w], shift).bitwiseAND(F.lit((1 << bits) - 1)) for w, shift, bits in cut])
     points = classes.select("id", *keep, F.slice("fp", 1, compare).alias("fp"), F.posexplode(keys).alias("table", "key"))
+    kept = [c for c in ("n", "shared", "component") if c in points.columns]
     points = with_parts(points, ["table", "key"], TILE)
     points = points.withColumn("part", F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts")))
     points = points.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     points = points.withColumn("left", F.least("part", "with")).withColumn("right", F.greatest("part", "with"))
     shards = max(1, math.ceil(total * len(cut) / SHARD))
     points = points.withColumn("shard", F.pmod(F.xxhash64("table", "key", "left", "right"), F.lit(shards)).cast("int"))
-    points = points.select("shard", F.col("table").cast("short"), F.col("key").cast("int"), F.col("left").cast("int"), F.col("right").cast("int"), F.col("part").cast("int"), "id", *keep, "fp")
-    return points.groupBy("shard").applyInArrow(lambda group: _linked(group, budget, similarity), "a long, b long").distinct()
+    points = points.select("shard", F.col("table").cast("short"), F.col("key").cast("int"), F.col("left").cast("int"), F.col("right").cast("int"), F.col("part").cast("int"), "id", *kept, "fp")
+    return points.groupBy("shard").applyInArrow(lambda group: _linked(group, budget, what, similarity), "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -421,24 +430,28 @@ def between_components(known: DataFrame, texts: DataFrame, near: Callable[[DataF
 def similar_links(classes: DataFrame, texts: Callable[[DataFrame], DataFrame], search: Search, words: int, similarity: float, total: int) -> DataFrame:
     """Links (a, b) between classes (id, n, fp) of that Jaccard similarity that join what all such pairs of the search's candidates join.
 
-    texts: of a table of ids, (id, text). First a spanning forest of near pairs is verified, so that a large group of
-    near copies is mostly one component by as many links as it has members. A pair that the forest's true links
-    don't join has a false link at each end's component; so, second, such components are compared where they are near.
+    texts: of a table of ids, (id, text); it is asked once, for the classes that are near another. First a spanning forest
+    of nearest pairs in the first FIRST slices is verified, so that a large group of near copies is mostly one component by
+    about as many links as it has members. Then the classes that are still near one of another component are compared.
     """
-    near = lambda some, n: trie_links(some, search.cut, COMPARED, search.budget, n, similarity)
-    pairs = checkpointed(near(classes.withColumn("shared", F.col("n")), total))
-    # each class with a near pair has one in the forest, so these are all texts that are needed
-    held = checkpointed(texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-    forest = checkpointed(verified(pairs, held, words, similarity))
-    first = forest.where("similar").select("a", "b")
-    joined = checkpointed(connected_components(first))
-    of = lambda end: joined.select(F.col("id").alias(end), F.col("component").alias(f"{end}_component"))
-    broken = forest.where("not similar").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    broken = broken.select(F.coalesce("a_component", "a").alias("x"), F.coalesce("b_component", "b").alias("y")).where("x <> y")
-    open_ = checkpointed(broken.select(F.explode(F.array("x", "y")).alias("component")).distinct())
-    known = classes.join(joined.withColumnRenamed("id", "linked"), F.col("id") == F.col("linked"), "left").withColumn("component", F.coalesce("component", "id")).drop("linked")
-    known = checkpointed(known.join(open_, "component", "left_semi"))
-    return first.unionByName(checkpointed(between_components(known, held, lambda some: near(some, some.count()), words, similarity)))
+
+    def near(some: DataFrame, n: int, what: str, cut: Sequence[tuple[int, int, int]] = search.cut) -> DataFrame:
+        return trie_links(some, cut, COMPARED, search.budget, n, what, similarity)
+
+    classes = classes.withColumn("shared", F.col("n"))
+    ids = checkpointed(near(classes, total, "rows").select("a"))
+    classes = checkpointed(classes.join(ids.withColumnRenamed("a", "id"), "id", "left_semi"))
+    held = checkpointed(texts(classes.select("id")))
+    some = classes.count()
+    pairs = checkpointed(near(classes, some, "forest", search.cut[:FIRST]))
+    first = checkpointed(verified(pairs, held, words, similarity).where("similar").select("a", "b"))
+    joined = connected_components(first).withColumnRenamed("id", "linked")
+    known = classes.join(joined, F.col("id") == F.col("linked"), "left").withColumn("component", F.coalesce("component", "id")).drop("linked", "shared")
+    known = checkpointed(known)
+    apart = near(known.withColumn("shared", F.col("n")), some, "rows").select(F.col("a").alias("id"))
+    known = checkpointed(known.join(apart, "id", "left_semi"))
+    between = between_components(known, held, lambda x: near(x, x.count(), "components"), words, similarity)
+    return first.unionByName(checkpointed(between))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, similarity: float = 0.8, recall: float = 0.995) -> DataFrame:
