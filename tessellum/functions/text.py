@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def simple_tokens(text: Column) -> Column:
     """Alphanumeric runs that begin with a letter, two characters or more, lower-cased; null text has none."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_]+")
-    return F.transform(F.filter(parts, lambda w: w.rlike(r"^[a-zA-Z][a-zA-Z0-9]+$")), lambda w: F.lower(w))
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_extract_all(lower, F.lit(r"(?<![\p{L}\p{N}_])[a-z][a-z0-9]+(?![\p{L}\p{N}_])"), F.lit(0))
 
 
 def blank_tokens(text: Column) -> Column:

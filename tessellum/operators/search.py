@@ -15,28 +15,45 @@ from tessellum.functions.text import simple_tokens
 TILE_QUERIES, TILE_ROWS = 1024, 8192
 
 
-def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf, dl); chunks without a token are not indexed. A chunk's terms are counted where it stands."""
-    tokens = chunks.select(F.col(id_col).alias("id"), simple_tokens(F.col(text_col)).alias("tokens")).where(F.size("tokens") > 0)
-    each = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return each.groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+#: Different terms of all queries that are broadcast; more are joined by a shuffle.
+ASKED = 100_000
 
 
-def bm25(index: DataFrame, queries: DataFrame, *, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """R2: (query_id, id, score) of the chunks that hold a term of (query_id, text).
+def tokenized(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tokens) of each chunk. Those without a token don't count in the index."""
+    return chunks.select(F.col(id_col).alias("id"), simple_tokens(F.col(text_col)).alias("tokens"))
+
+
+def term_stats(tokens: DataFrame) -> DataFrame:
+    """(term, df, cf): chunks that hold each term, and its places. Both are summed up in the map tasks first."""
+    part = lambda terms, df: F.struct(terms.alias("terms"), F.lit(df).alias("df"), F.lit(1 - df).alias("cf"))
+    parts = tokens.select(F.explode(F.array(part(F.array_distinct("tokens"), 1), part(F.col("tokens"), 0))).alias("p"))
+    return parts.select(F.explode("p.terms").alias("term"), "p.df", "p.cf").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def bm25(tokens: DataFrame, queries: DataFrame, *, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """R2: (query_id, id, score) of the chunks (id, tokens) that hold a term of (query_id, text).
 
     idf = ln(N - df + 0.5) - ln(df + 0.5), a negative one is epsilon times the mean over all terms; a term that a
-    query repeats counts as often. Only the terms asked for are joined to their postings.
+    query repeats counts as often. Chunks are read twice: for the terms' sums, and for the terms asked for, which meet
+    them where they stand if they are at most ASKED.
     """
-    lengths = index.groupBy("id").agg(F.first("dl").alias("dl"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus))  # one row
-    df = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.agg(F.avg("idf").alias("mean_idf"))
-    df = df.crossJoin(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, F.col("mean_idf") * epsilon).otherwise(F.col("idf")))
+    # the term '' stands in every chunk, and brings the number and length of all
+    once = tokens.select(F.size("tokens").alias("dl"), F.explode(F.when(F.size("tokens") > 0, F.concat(F.array_distinct("tokens"), F.array(F.lit(""))))).alias("term"))
+    stats = once.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
+    corpus = F.max(F.when(F.col("term") == "", F.struct(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))))
     asked = queries.select("query_id", F.explode(simple_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighed = asked.join(df.select("term", "idf", "avgdl"), "term")
-    found = index.join(weighed, "term")
+    many = asked.select("term").distinct().count()
+    small = (lambda df: F.broadcast(df)) if many <= ASKED else (lambda df: df)
+    # n is known only with all terms, so the sums are gathered by df: as many rows as there are different ones
+    wanted = stats.join(small(asked.select(F.col("term").alias("t")).distinct()), F.col("term") == F.col("t"), "left")
+    spread = wanted.groupBy("df").agg(F.count_if(F.col("term") != "").alias("terms"), F.collect_list(F.when(F.col("t").isNotNull(), F.col("term"))).alias("asked"), corpus.alias("c"))
+    spread = spread.withColumn("c", F.max("c").over(Window.partitionBy())).withColumn("idf", F.log(F.col("c.n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = F.sum(F.when(F.col("terms") > 0, F.col("idf") * F.col("terms"))).over(Window.partitionBy()) / F.sum("terms").over(Window.partitionBy())
+    idf = spread.withColumn("idf", F.when(F.col("idf") < 0, mean * epsilon).otherwise(F.col("idf"))).select("idf", F.col("c.avgdl").alias("avgdl"), F.explode("asked").alias("term"))
+    weighed = asked.join(small(idf), "term")
+    each = tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
+    found = each.groupBy("id", "term", "dl").agg(F.count("*").alias("tf")).join(small(weighed), "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return found.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
@@ -51,8 +68,13 @@ def top_k(scores: DataFrame, k: int, *, positive: bool = False) -> DataFrame:
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score): the k largest inner products of (query_id, vector) with (id, vector), ties by id, at any sign.
 
-    Queries and rows meet in tiles; each tile gives k candidates a query.
+    A null vector, one with a null in it, or of another length than the first of `vectors` by id that is not null or empty,
+    is no vector. Queries and rows meet in tiles; each tile gives k candidates a query.
     """
+    whole = lambda v: v.isNotNull() & ~F.exists(v, lambda x: x.isNull())
+    vectors, queries = vectors.where(whole(F.col("vector"))), queries.where(whole(F.col("vector")))
+    width = vectors.where(F.size("vector") > 0).agg(F.min_by(F.size("vector"), "id")).first()[0] or 0
+    vectors, queries = vectors.where(F.size("vector") == width), queries.where(F.size("vector") == width)
     n_queries, n = queries.count(), vectors.count()
     blocks, groups = max(1, math.ceil(n_queries / TILE_QUERIES)), max(1, math.ceil(n / TILE_ROWS))
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))

@@ -31,7 +31,7 @@ def cost_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U5 U9 U10 U12."""
+    """U5 U9."""
     return takeoffs.by_class(_takeoffs(spark, sf_dir), "class")
 
 
@@ -92,8 +92,9 @@ def status_highwater(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that no line takes."""
-    return _table(spark, sf_dir, "part").join(_table(spark, sf_dir, "lineitem"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
+    """U16: parts that no first line of an order of more than 47 pieces takes."""
+    taken = _table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity > 47")
+    return _table(spark, sf_dir, "part").join(taken, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
 
 
 def photo_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +106,7 @@ def photo_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A number read from JSON, null where it is malformed."""
+    """A number read from JSON, null where it is malformed; a part of G12 and W5."""
     return _table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
@@ -163,7 +164,7 @@ SELECT completed, floor(c * 0.05 / 100 + 0.5) AS savings, floor(c * 0.03 / 100 +
     "studies_by_user": """SELECT c_name, o_orderkey, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS INT) AS place FROM orders) JOIN customer ON o_custkey = c_custkey WHERE place <= 50""",
     "status_summary": "SELECT c_mktsegment, count(*) AS n, count(*) FILTER (o_orderstatus = 'O') AS n_open, count(DISTINCT o_custkey) AS users FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     "status_highwater": """SELECT event_id, CAST(max(coalesce(list_position(['view', 'click', 'signup', 'purchase'], event_type), 0)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS furthest FROM events""",
-    "unassigned": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL)",
+    "unassigned": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL AND l_linenumber = 1 AND l_quantity > 47)",
     "photo_progress": "SELECT source, floor(count(l.doc_id) * 100 / count(*) + 0.5) AS percent FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id GROUP BY source",
     "json_props": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "manifest_upsert": "SELECT doc_id, source, n_chars + CASE WHEN e THEN 1 ELSE 0 END AS size, CASE WHEN e THEN 2 ELSE 1 END AS version FROM (SELECT *, CAST(substr(source, 4) AS INT) % 2 = 0 AS e FROM documents)",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessellum.functions import geometry
-from tessellum.operators import evidence
+from tessellum.operators import evidence, validation
 
 CRITICAL = ["date", "price"]
 THRESHOLDS = {"click": 0.7, "error": 0.75, "purchase": 0.6}
@@ -86,7 +86,7 @@ def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Artifacts to review, with their reasons and priority."""
+    """Artifacts to review, with their reasons and priority."""
     c = F.col
     reasons = evidence.review_reasons(c("component"), c("confidence"), c("grounded"), c("flagged"), THRESHOLDS, HIGH_VALUE)
     found = _artifacts(spark, sf_dir).withColumn("reasons", reasons).where(F.size("reasons") > 0)
@@ -126,10 +126,15 @@ def artifact_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corrections_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corrections (an event each) by field and by engineer (user modulo 10)."""
+    """A15 in part: corrections (an event each) by field and by engineer (user modulo 10)."""
     return _table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("field"), (F.col("user_id") % 10).alias("engineer")).agg(F.count("*").alias("n"))
 
 
+def corrections_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A15 in part: the ten artifacts (users) with most corrections, ties by id, as a top-k report."""
+    return _table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("artifact_id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "artifact_id").limit(10)
+
+
 def training_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each correction with the value it replaced in its artifact and field."""
     before = F.lag("value").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
@@ -137,18 +142,22 @@ def training_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings on each order's year, price, and gap between price and the sum of its lines."""
+    """Findings on each order's year, four amounts, and gap between price and the sum of its lines.
+
+    Some orders have a year from 1700 on, amounts are a thousandfold or negative for some, so that each rule finds some.
+    """
     lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
     o = _table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    key = F.col("o_orderkey")
     price = F.round(F.col("o_totalprice") * 100).cast("long")
-    rules = (
-        ("year", "warning", F.year("o_orderdate") < 1993),
-        ("year", "error", F.year("o_orderdate") > 1999),
-        ("price", "error", price < 0),
-        ("price", "warning", price > 40_000_000),
-        ("gap", "warning", F.coalesce(F.abs(price - F.col("cents")) * 5 > F.col("cents"), F.lit(False))),
-    )
-    found = F.filter(F.array(*[F.when(r, F.struct(F.lit(a).alias("rule"), F.lit(b).alias("severity"))) for a, b, r in rules]), lambda x: x.isNotNull())
+    year = F.when(key % 7 == 0, 1700 + key % 400).otherwise(F.year("o_orderdate")).cast("string")
+    amounts = {name: price * F.when(key % m == 0, 1000).when(key % m == 1, -1).otherwise(1) for name, m in (("price", 11), ("land", 13), ("cost", 17), ("rent", 19))}
+    rules = [
+        *validation.year_rules(year, F.year(F.current_date())),
+        *[rule for name, cents in amounts.items() for rule in validation.amount_rules(name, cents)],
+        validation.gap_rule(price, F.col("cents")),
+    ]
+    found = F.filter(F.array(*[F.when(F.coalesce(r, F.lit(False)), F.struct(F.lit(a).alias("rule"), F.lit(b).alias("severity"))) for a, b, r in rules]), lambda x: x.isNotNull())
     return o.select("o_orderkey", F.inline(found))
 
 
@@ -160,7 +169,7 @@ def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (bbox_ops, best_match, grounding_score, majority_vote, merge_tiers, overall_confidence, weak_fields, review_queue, review_stats,
-              review_reason_counts, artifact_search, artifact_merge, corrections_stats, training_export, validate_rules, validation_summary)
+              review_reason_counts, artifact_search, artifact_merge, corrections_stats, corrections_top, training_export, validate_rules, validation_summary)
 }
 
 _BOXES = """
@@ -192,9 +201,11 @@ w AS (SELECT event_id, array_to_string(reasons, ',') AS reasons, round(least(1.0
 """
 _RULES = """
 l AS (SELECT l_orderkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents FROM lineitem GROUP BY l_orderkey),
-o AS (SELECT o_orderkey, year(o_orderdate) AS y, CAST(round(o_totalprice * 100) AS BIGINT) AS p, cents FROM orders LEFT JOIN l ON o_orderkey = l_orderkey),
-v AS (SELECT o_orderkey, 'year' AS rule, 'warning' AS severity FROM o WHERE y < 1993 UNION ALL SELECT o_orderkey, 'year', 'error' FROM o WHERE y > 1999 UNION ALL SELECT o_orderkey, 'price', 'error' FROM o WHERE p < 0
- UNION ALL SELECT o_orderkey, 'price', 'warning' FROM o WHERE p > 40000000 UNION ALL SELECT o_orderkey, 'gap', 'warning' FROM o WHERE abs(p - cents) * 5 > cents)
+o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 1700 + o_orderkey % 400 ELSE year(o_orderdate) END AS y, CAST(round(o_totalprice * 100) AS BIGINT) AS p, cents FROM orders LEFT JOIN l ON o_orderkey = l_orderkey),
+m(rule, d) AS (VALUES ('price', 11), ('land', 13), ('cost', 17), ('rent', 19)),
+a AS (SELECT k, rule, p * CASE k % d WHEN 0 THEN 1000 WHEN 1 THEN -1 ELSE 1 END AS c FROM o, m),
+v AS (SELECT k AS o_orderkey, 'year' AS rule, 'warning' AS severity FROM o WHERE y < 1800 UNION ALL SELECT k, 'year', 'error' FROM o WHERE y > year(current_date) + 2
+ UNION ALL SELECT k, rule, 'error' FROM a WHERE c < 0 UNION ALL SELECT k, rule, 'warning' FROM a WHERE c > 10000000000 UNION ALL SELECT k, 'gap', 'warning' FROM o WHERE abs(p - cents) * 5 > cents)
 """
 ORACLE_SQL: dict[str, str] = {
     "bbox_ops": f"""WITH {_BOXES}, w AS (SELECT *, (x1 - x0) * 0.25 AS pw, (y1 - y0) * 0.25 AS ph FROM x)
@@ -215,6 +226,7 @@ count(*) FILTER (field <> 'priority' AND value <> '' AND confidence >= 0.9) < 2
     "artifact_search": "SELECT event_id, event_type AS component, CAST(event_id * 7919 % 1000 AS DOUBLE) / 1000 AS confidence FROM events WHERE lower(event_type) = 'purchase' AND event_id * 7919 % 1000 >= 600",
     "artifact_merge": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
     "corrections_stats": "SELECT event_type AS field, user_id % 10 AS engineer, count(*) AS n FROM events GROUP BY ALL",
+    "corrections_top": "SELECT user_id AS artifact_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, artifact_id LIMIT 10",
     "training_export": "SELECT event_id, event_type AS field, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS old_value, value AS new_value FROM events",
     "validate_rules": f"WITH {_RULES} SELECT * FROM v",
     "validation_summary": f"WITH {_RULES} SELECT rule, severity, count(*) AS n FROM v GROUP BY ALL",

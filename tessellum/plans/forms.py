@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessellum.functions import codes, labels
 from tessellum.operators import forms, layout, search
+from tessellum.sources import tables
 
 WORDS = [w for label, words in labels.SYNONYMS.items() for w in (label, *words)]
 CRITICAL = ["property_address", "total_value", "year_built"]
@@ -49,7 +50,7 @@ def code_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents, each source taken as a type of document."""
     kind = F.when(F.col("doc_id") % 2 == 0, "irs").otherwise(F.col("source"))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.size(codes.tokens_for(kind, F.col("text"))).alias("n_tokens"))
+    return tables.spread(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", F.size(codes.tokens_for(kind, F.col("text"))).alias("n_tokens"))
 
 
 def repaired_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,10 +99,10 @@ _TYPES = "CASE WHEN seq % 11 = 3 THEN 'title' WHEN seq % 4 = 1 THEN 'heading' EL
 
 
 def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents as titles, headings and paragraphs."""
+    """Whole lines of documents as titles, headings and paragraphs; the path is given by its md5."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "text"))
-    typed = docs.withColumn("element_type", F.expr(_TYPES)).withColumn("text", F.substring("text", 1, 12))
-    return layout.section_paths(typed, "doc_id").select("doc_id", F.col("seq").cast("long").alias("seq"), F.array_join("path", "/").alias("path"))
+    typed = docs.withColumn("element_type", F.expr(_TYPES))
+    return layout.section_paths(typed, "doc_id").select("doc_id", F.col("seq").cast("long").alias("seq"), F.md5(F.array_join("path", "/")).alias("path"))
 
 
 def _word(key: str) -> Column:
@@ -206,9 +207,9 @@ g AS (SELECT doc_id, page, list(struct_pack(text := text, x0 := x0, y0 := y0, x1
 f AS (SELECT doc_id, page, list_reduce(list_transform(lines, lambda s: [s]), lambda acc, x: CASE WHEN {_NEAR} THEN list_concat(acc[:-2], [{_JOINED}]) ELSE list_concat(acc, x) END) AS p FROM g),
 u AS (SELECT doc_id, page, unnest(range(len(p))) AS place, unnest(p) AS p FROM f)
 SELECT doc_id, page, place, md5(p.text) AS text, p.x0 AS x0, p.y0 AS y0, p.x1 AS x1, p.y1 AS y1, p.font AS font FROM u""",
-    "section_paths": f"""WITH e AS (SELECT doc_id, seq, substr(text, 1, 12) AS text, {_TYPES} AS t FROM {_SPLIT_LINES})
-SELECT doc_id, seq, coalesce((SELECT string_agg(text, '/' ORDER BY seq) FROM (SELECT h.seq, h.text FROM e h WHERE h.doc_id = o.doc_id AND h.seq <= o.seq AND h.t <> 'paragraph'
-AND h.seq >= coalesce((SELECT max(k.seq) FROM e k WHERE k.doc_id = o.doc_id AND k.seq <= o.seq AND k.t = 'title'), 0) ORDER BY h.seq DESC LIMIT 3)), '') AS path FROM e o""",
+    "section_paths": f"""WITH e AS (SELECT doc_id, seq, text, {_TYPES} AS t FROM {_SPLIT_LINES})
+SELECT doc_id, seq, md5(coalesce((SELECT string_agg(text, '/' ORDER BY seq) FROM (SELECT h.seq, h.text FROM e h WHERE h.doc_id = o.doc_id AND h.seq <= o.seq AND h.t <> 'paragraph'
+AND h.seq >= coalesce((SELECT max(k.seq) FROM e k WHERE k.doc_id = o.doc_id AND k.seq <= o.seq AND k.t = 'title'), 0) ORDER BY h.seq DESC LIMIT 3)), '')) AS path FROM e o""",
     "label_match": f"""WITH w AS (SELECT vec_id, label AS n, concat(upper({_LIST}[CAST(vec_id % {len(WORDS)} AS INT) + 1]), CASE WHEN vec_id % 3 = 0 THEN ' door' ELSE '' END) AS la, {_LIST}[CAST((vec_id * 5 + label) % {len(WORDS)} AS INT) + 1] AS b FROM embeddings), v AS (SELECT *, lower(la) AS a FROM w)
 SELECT vec_id, contains(a, b) OR contains(b, a) OR {_SETS} AS same, CASE WHEN n / 10.0 >= 0.67 THEN b ELSE la END AS label, n / 10.0 >= 0.67 AS agreed FROM v""",
     "label_related": f"""WITH v AS (SELECT vec_id, concat('wall ', {_LIST}[CAST(vec_id % {len(WORDS)} AS INT) + 1]) AS a, concat({_LIST}[CAST((vec_id * 5 + label) % {len(WORDS)} AS INT) + 1], ' set') AS b FROM embeddings)

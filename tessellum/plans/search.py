@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessellum.functions import text
 from tessellum.operators import chunks, search
+from tessellum.sources import tables
 
 K = 10
 
@@ -17,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -28,7 +33,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark text asks all documents."""
     docs = _table(spark, sf_dir, "documents")
-    scores = search.bm25(search.postings(docs, "doc_id", "text"), _asked(spark, sf_dir))
+    scores = search.bm25(search.tokenized(_documents(spark, sf_dir), "doc_id", "text"), _asked(spark, sf_dir))
     hits = search.top_k(scores.withColumn("score", F.round("score", 9)), K, positive=True)
     return _rounded(search.expand(hits, docs.select("doc_id", "lang", "source"), "doc_id"))
 
@@ -36,12 +41,12 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens and different tokens of each document."""
     t = text.simple_tokens(F.col("text"))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_terms"))
+    return _documents(spark, sf_dir).select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_terms"))
 
 
 def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document and corpus frequency of each term."""
-    return search.postings(_table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return search.term_stats(search.tokenized(_documents(spark, sf_dir), "doc_id", "text"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +70,7 @@ def vector_label_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark text and the vector of its number ask documents and the vectors of their ids."""
-    docs = _table(spark, sf_dir, "documents")
-    lexical = search.bm25(search.postings(docs, "doc_id", "text"), _asked(spark, sf_dir)).withColumn("score", F.round("score", 9))
+    lexical = search.bm25(search.tokenized(_documents(spark, sf_dir), "doc_id", "text"), _asked(spark, sf_dir)).withColumn("score", F.round("score", 9))
     vectors = _vectors(spark, sf_dir)
     asked = vectors.join(_asked(spark, sf_dir).select(F.col("query_id").alias("id")), "id").withColumnRenamed("id", "query_id")
     near = search.vector_top_k(vectors, asked, 2 * K).drop("rank").withColumn("score", F.round("score", 9))
@@ -75,7 +79,7 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I8: windows of 400 tokens, 80 shared."""
-    return chunks.windows(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return chunks.windows(_documents(spark, sf_dir), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
 def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:

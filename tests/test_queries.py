@@ -71,7 +71,7 @@ def test_windows_at_their_edges(spark):
 def test_bm25_drops_after_the_cut_and_breaks_ties_by_id(spark):
     docs = spark.createDataFrame([(3, "red fox"), (1, "red fox"), (2, "blue cat"), (4, ""), (5, None), (6, "green dog"), (7, "gray owl")], "id long, t string")
     asked = spark.createDataFrame([(1, "red unknown"), (2, ""), (3, None)], "query_id long, text string")
-    hits = search.top_k(search.bm25(search.postings(docs, "id", "t"), asked), 1, positive=True).collect()
+    hits = search.top_k(search.bm25(search.tokenized(docs, "id", "t"), asked), 1, positive=True).collect()
     assert [(r.query_id, r.id) for r in hits] == [(1, 1)]
 
 
@@ -79,6 +79,9 @@ def test_vector_search_keeps_negative_scores(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, [1.0, 0.0])], "id long, vector array<float>")
     got = search.vector_top_k(v, v.where("id = 1").withColumnRenamed("id", "query_id"), 5).orderBy("rank").collect()
     assert [(r.id, r.score) for r in got] == [(1, 1.0), (3, 1.0), (2, -1.0)]
+    odd = v.unionByName(spark.createDataFrame([(4, None), (0, []), (5, [1.0]), (6, [1.0, None]), (7, None)], v.schema))
+    got = search.vector_top_k(odd, odd.where("id in (1, 4, 5)").withColumnRenamed("id", "query_id"), 5).orderBy("rank").collect()
+    assert [(r.query_id, r.id, r.score) for r in got] == [(1, 1, 1.0), (1, 3, 1.0), (1, 2, -1.0)]
     assert search.vector_top_k(v.limit(0), v.limit(0).withColumnRenamed("id", "query_id"), 5).count() == 0
 
 
