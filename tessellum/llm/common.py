@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessellum.sources.tables import spread, table
+
 SPACE = r"[\x20\x09-\x0D]+"
 #: Spark SQL literal of the characters of SPACE, for translate().
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -15,7 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The table, in as many partitions as there are cores, at least."""
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
