@@ -303,6 +303,9 @@ def _linked(group: pa.Table, budget: int, what: str, similarity: float) -> pa.Ta
     found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     near = np.zeros(len(ids), bool)
 
+    # rows with many shingles of their own are far from all: nearest is who has few, too
+    own = 64 * fp.shape[1] * (1 - shared / np.maximum(1, size))
+
     def visit(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> None:
         may = np.minimum(shared[i], shared[j]) >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-9
         i, j, far = i[may], j[may], far[may]
@@ -311,7 +314,7 @@ def _linked(group: pa.Table, budget: int, what: str, similarity: float) -> pa.Ta
             ends = np.unique(np.column_stack([np.minimum(names[i], names[j]), np.maximum(names[i], names[j])]), axis=0)
             found.append((ends[:, 0], ends[:, 1]))
         elif what == "forest":
-            found.extend((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])) for x, y in spanning(label, i, j, far))
+            found.extend((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])) for x, y in spanning(label, i, j, far + own[i] + own[j]))
         elif not parted:
             union(label, i, j)
 
@@ -372,12 +375,10 @@ def near_duplicates(
     return each.join(named, each["fp"] == named["class_fp"]).select("doc_id", "fp", "component_id")
 
 
-def between_components(known: DataFrame, texts: DataFrame, near: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
-    """Links (a, b) that join the components of known (id, n, fp, component) that hold a similar pair which is near, too; texts: (id, text).
+def with_shared(classes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """classes (id, n, ...) with shared: how many of a class's shingles another of texts (id, text) has, too.
 
-    near gives the pairs of components that hold a near pair. Of such a pair, the smaller component's members ask the
-    larger's, in blocks of BLOCK by BLOCK texts; no pair of texts is a row, and of an asker's answers one is enough.
-    A shingle that no other text has is in no overlap, which spares most pairs of texts that are near but not similar.
+    A shingle that no other text has is in no overlap, so a class with too few shared ones is like no other and is left out.
     """
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,11 +387,19 @@ def between_components(known: DataFrame, texts: DataFrame, near: Callable[[DataF
                 held = shingles(text.as_py(), words)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), key)), pa.array(held)], ["id", "token"])
 
-    texts = checkpointed(texts.join(known.select("id"), "id", "left_semi"))
     alone = texts.mapInArrow(tokens, "id long, token long").groupBy("token").agg(F.count("*").alias("texts"), F.min("id").alias("holder")).where("texts = 1")
     alone = alone.groupBy("holder").agg(F.count("*").alias("alone"))
-    known = known.join(alone, F.col("id") == F.col("holder"), "left").withColumn("shared", (F.col("n") - F.coalesce("alone", F.lit(0))).cast("int")).drop("alone", "holder")
-    known = checkpointed(known.where(F.col("shared") >= similarity * F.col("n") - 1e-9))
+    known = classes.join(alone, F.col("id") == F.col("holder"), "left").withColumn("shared", (F.col("n") - F.coalesce("alone", F.lit(0))).cast("int")).drop("alone", "holder")
+    return known.where(F.col("shared") >= similarity * F.col("n") - 1e-9)
+
+
+def between_components(known: DataFrame, texts: DataFrame, near: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join the components of known (id, n, shared, fp, component) that hold a similar pair which is near, too; texts: (id, text).
+
+    near gives the pairs of components that hold a near pair. Of such a pair, the smaller component's members ask the
+    larger's, in blocks of BLOCK by BLOCK texts; no pair of texts is a row, and of an asker's answers one is enough.
+    """
+    texts = checkpointed(texts.join(known.select("id"), "id", "left_semi"))
     pairs = checkpointed(near(known))
     members = known.select("component", "id")
     size = checkpointed(members.groupBy("component").agg(F.count("*").alias("size")))
@@ -430,9 +439,11 @@ def between_components(known: DataFrame, texts: DataFrame, near: Callable[[DataF
 def similar_links(classes: DataFrame, texts: Callable[[DataFrame], DataFrame], search: Search, words: int, similarity: float, total: int) -> DataFrame:
     """Links (a, b) between classes (id, n, fp) of that Jaccard similarity that join what all such pairs of the search's candidates join.
 
-    texts: of a table of ids, (id, text); it is asked once, for the classes that are near another. First a spanning forest
+    texts: of a table of ids, (id, text); it is asked once, for the classes that are near another, and those go whose own
+    shingles are too many. First a spanning forest
     of nearest pairs in the first FIRST slices is verified, so that a large group of near copies is mostly one component by
-    about as many links as it has members. Then the classes that are still near one of another component are compared.
+    about as many links as it has members; then one in all slices, over the classes that are still near one of another
+    component. The components that are near after that are compared whole.
     """
 
     def near(some: DataFrame, n: int, what: str, cut: Sequence[tuple[int, int, int]] = search.cut) -> DataFrame:
@@ -442,14 +453,17 @@ def similar_links(classes: DataFrame, texts: Callable[[DataFrame], DataFrame], s
     ids = checkpointed(near(classes, total, "rows").select("a"))
     classes = checkpointed(classes.join(ids.withColumnRenamed("a", "id"), "id", "left_semi"))
     held = checkpointed(texts(classes.select("id")))
-    some = classes.count()
-    pairs = checkpointed(near(classes, some, "forest", search.cut[:FIRST]))
-    first = checkpointed(verified(pairs, held, words, similarity).where("similar").select("a", "b"))
-    joined = connected_components(first).withColumnRenamed("id", "linked")
-    known = classes.join(joined, F.col("id") == F.col("linked"), "left").withColumn("component", F.coalesce("component", "id")).drop("linked", "shared")
-    known = checkpointed(known)
-    apart = near(known.withColumn("shared", F.col("n")), some, "rows").select(F.col("a").alias("id"))
-    known = checkpointed(known.join(apart, "id", "left_semi"))
+    classes = checkpointed(with_shared(classes.drop("shared"), held, words, similarity))
+    first = classes.select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).limit(0)
+    known = classes.withColumn("component", F.col("id"))
+    for cut in (search.cut[:FIRST], search.cut):
+        pairs = checkpointed(near(known, known.count(), "forest", cut))
+        first = checkpointed(first.unionByName(verified(pairs, held, words, similarity).where("similar").select("a", "b")))
+        joined = connected_components(first).withColumnRenamed("id", "linked")
+        known = known.drop("component").join(joined, F.col("id") == F.col("linked"), "left").withColumn("component", F.coalesce("component", "id")).drop("linked")
+        known = checkpointed(known)
+        apart = near(known, known.count(), "rows").select(F.col("a").alias("id"))
+        known = checkpointed(known.join(apart, "id", "left_semi"))
     between = between_components(known, held, lambda x: near(x, x.count(), "components"), words, similarity)
     return first.unionByName(checkpointed(between))
 
