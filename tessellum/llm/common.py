@@ -69,6 +69,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a table of 64-bit keys that is broadcast to filter by, some 64 MB; a larger one is joined by a shuffle.
+FEW_KEYS = 2_000_000
+
+
+def broadcastable(keys: DataFrame) -> DataFrame | None:
+    """The checkpointed table of one column of longs, marked for a broadcast; None if it has more than FEW_KEYS rows."""
+    return F.broadcast(keys) if keys.count() <= FEW_KEYS else None
+
+
 #: Rows of a table of heavy keys that is broadcast; a larger one is joined by a shuffle.
 HEAVY = 10_000
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellum.llm.common import checkpointed, fresh, with_parts
+from tessellum.llm.common import broadcastable, checkpointed, fresh, with_parts
 from tessellum.llm.components import connected_components
 from tessellum.llm.shingles import SEED, shingles, verified
 
@@ -477,6 +477,8 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     candidate, by its slices; the more alike two texts are, the higher it is, and equal sets always are one. Null and blank
     texts are one group, repeated rows are one row, very long texts are taken whole, an empty table gives an empty one.
     Rows are told apart by 128 bits of id and text, so an id may stand on several texts; other columns may have any name.
+    Texts are shuffled only if they are compared or go, as long as the keys of these are few enough to be broadcast
+    (FEW_KEYS); beyond that, all are.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     k1, k2 = fresh(docs, "row_1", "row_2")
@@ -490,14 +492,26 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     classes = classes.withColumn("id", F.monotonically_increasing_id())  # of a checkpoint, so the same in each reading
 
     def texts(ids: DataFrame) -> DataFrame:
-        needed = classes.select("id", "least.k1", "least.k2").join(ids, "id", "left_semi").withColumnsRenamed({"k1": "n1", "k2": "n2"})
-        return marked.select(*key, text.alias("text")).join(needed, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2"))).select("id", "text").dropDuplicates(["id"])
+        needed = checkpointed(classes.select("id", "least.k1", "least.k2").join(ids, "id", "left_semi").withColumnsRenamed({"k1": "n1", "k2": "n2"}))
+        asked = marked.select(*key, text.alias("text"))
+        few = broadcastable(needed.select(F.col("n1").alias("k1")))
+        if few is not None:  # only texts that may be asked for are shuffled
+            asked = asked.join(few, "k1", "left_semi")
+        return asked.join(needed, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2"))).select("id", "text").dropDuplicates(["id"])
 
     some = classes.where("n > 0").select("id", "n", "fp")
     found = connected_components(similar_links(some, texts, search, words, similarity, classes.count())).withColumnRenamed("id", "linked")
     stays = classes.join(found, F.col("id") == F.col("linked"), "left").groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("least").alias("least"))
-    stays = stays.select(F.col("least.k1").alias(k1), F.col("least.k2").alias(k2))
-    return marked.join(stays, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*[f"`{c}`" for c in docs.columns])
+    stays = checkpointed(stays.select(F.col("least.k1").alias(k1), F.col("least.k2").alias(k2)))
+    # rows that go or that are repeated; all others stay as they are, without a shuffle of their texts if these are few
+    times = rows.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.count("*").alias("times"))
+    in_doubt = times.join(stays.withColumn("stays", F.lit(True)), [k1, k2], "left").where("times > 1 or stays is null").select(k1)
+    few = broadcastable(checkpointed(in_doubt))
+    judged = marked if few is None else marked.join(few, k1, "left_semi")
+    kept = judged.join(stays, [k1, k2], "left_semi").dropDuplicates([k1, k2])
+    if few is not None:
+        kept = marked.join(few, k1, "left_anti").unionByName(kept)
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 def fingerprint_hex(fp: Column) -> Column:

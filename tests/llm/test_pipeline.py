@@ -3,7 +3,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessellum.llm import quality, simhash
+from tessellum.llm import common, quality, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +45,10 @@ def test_repeated_rows_and_ids_on_two_texts(spark, docs):
     found = [(r.doc_id, hashlib.md5((r.text or "").strip().encode()).hexdigest()) for r in kept.select("doc_id", "text").collect()]
     assert len(found) == len(set(found)) and any(d is None for d, _ in found)
     assert sum((t or "").split() == [] for t in (r.text for r in kept.select(F.col("text")).collect())) == 1
+
+
+def test_near_duplicates_are_the_same_with_few_and_many_keys(spark, docs, monkeypatch):
+    rows = docs.unionByName(docs)
+    few = sorted(map(str, simhash.without_near_duplicates(rows).collect()))
+    monkeypatch.setattr(common, "FEW_KEYS", 0)
+    assert sorted(map(str, simhash.without_near_duplicates(rows).collect())) == few
