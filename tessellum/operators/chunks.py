@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellum.functions.text import blank_tokens
@@ -20,6 +20,40 @@ def windows(elements: DataFrame, id_col: str, text_col: str, size: int = 400, ov
     return each.select("id", "chunk", F.size(part).alias("n_tokens"), F.array_join(part, " ").alias("text"))
 
 
+def document_windows(elements: DataFrame, size: int = 400, overlap: int = 80) -> DataFrame:
+    """(doc_id, chunk, n_tokens, text, first_page, last_page, element_ids): windows over each document's elements (doc_id, seq, page, element_id, text) in order of seq.
+
+    A chunk's elements are the last one of the chunk before and those that give it new tokens; its pages are theirs,
+    with the greatest page so far for the chunk before. Blank and null elements give nothing. Each element is cut into
+    its chunks where it is: no document is put together, and one group is the tokens of one chunk. overlap < size.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be less than size")
+    step = size - overlap
+    order = Window.partitionBy("doc_id").orderBy("seq")
+    cut = elements.select("doc_id", "seq", "page", "element_id", blank_tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    cut = cut.withColumn("b", F.sum(F.size("tokens")).over(order)).withColumn("a", F.col("b") - F.size("tokens"))
+    cut = cut.withColumn("n", F.sum(F.size("tokens")).over(Window.partitionBy("doc_id")))
+    last = F.greatest(F.lit(0), F.ceil((F.col("n") - size) / step))
+    first = F.greatest(F.lit(0), F.ceil((F.col("a") - size + 1) / step))
+    each = cut.withColumn("chunk", F.explode(F.sequence(first, F.least(F.floor((F.col("b") - 1) / step), last)))).withColumn("chunk", F.col("chunk").cast("int"))
+    low = F.greatest(F.col("a"), F.col("chunk") * step)
+    part = F.slice("tokens", (low - F.col("a") + 1).cast("int"), (F.least(F.col("b"), F.col("chunk") * step + size) - low).cast("int"))
+    new = (F.col("chunk") == 0) | (F.col("b") > F.col("chunk") * step + overlap)
+    pieces = F.array_sort(F.collect_list(F.struct("seq", "element_id", new.alias("new"), part.alias("part"))))
+    found = each.groupBy("doc_id", "chunk").agg(pieces.alias("p"), F.min(F.when(new, F.col("page"))).alias("low"), F.max(F.when(new, F.col("page"))).alias("high"))
+    tokens = F.flatten(F.transform("p", lambda x: x["part"]))
+    by_chunk = Window.partitionBy("doc_id").orderBy("chunk")
+    before = F.max("high").over(by_chunk.rowsBetween(Window.unboundedPreceding, -1))
+    carried = F.lag(F.element_at("p", -1)["element_id"]).over(by_chunk)
+    named = F.transform(F.filter("p", lambda x: x["new"]), lambda x: x["element_id"])
+    ids = F.array_distinct(F.filter(F.concat(F.array(carried), named), lambda i: i.isNotNull()))
+    return found.select(
+        "doc_id", "chunk", F.size(tokens).alias("n_tokens"), F.array_join(tokens, " ").alias("text"),
+        F.least(before, "low").alias("first_page"), F.greatest(before, "high").alias("last_page"), ids.alias("element_ids"),
+    )
+
+
 def headers(raw: Column) -> Column:
     """I4: white space collapsed, blank headers named Column_i from 1."""
     clean = F.transform(raw, lambda h: F.trim(F.regexp_replace(F.coalesce(h, F.lit("")), r"\s+", " ")))

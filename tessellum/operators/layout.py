@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 #: What still joins a line to a paragraph: gap below it, difference of font size, difference of indent.
 GAP, FONT, INDENT = 15.0, 1.5, 50.0
 HEADINGS = ("title", "heading")
+#: Starts of list items, and texts that are headings whatever their font.
+LIST_STARTS = (r"[\u2022\u2023\u25E6\u2043\u2219]\s", r"[-–—]\s", r"\d{1,3}[.)]\s", r"[a-zA-Z][.)]\s", r"\([a-zA-Z0-9]+\)\s")
+HEADING_TEXTS = (r"^(Chapter|Section|Part|Article)\s+\d+", r"^[A-Z][A-Z\s]{3,50}$", r"^\d+\.\d+\.?\s+[A-Z]")
+CAPTIONS = (r"(?i)^Table\s+[\dA-Za-z.\-]+[:.]\s*.+$", r"(?i)^Table\s+[\dA-Za-z.\-]+\s*[-–—]\s*.+$")
 
 
 def paragraphs(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,3 +58,48 @@ def interleaved(text_chunks: DataFrame, table_chunks: DataFrame) -> DataFrame:
     both = text_chunks.withColumn("chunk_type", F.lit("text")).unionByName(table_chunks.withColumn("chunk_type", F.lit("table_summary")))
     order = Window.partitionBy("doc_id").orderBy("start", (F.col("chunk_type") != "text").cast("int"), F.col("chunk_id").cast("string"))
     return both.withColumn("place", F.row_number().over(order))
+
+
+def element_types(blocks: DataFrame, page: list[str]) -> DataFrame:
+    """Blocks (page columns, text, x0, font, bold) with element_type: title, heading, list_item or paragraph.
+
+    Rules in order: short texts are paragraphs; list starts, then indents by over 30 against the page's mean, are list
+    items; then titles and headings by font, headings by text. Null text counts as empty.
+    """
+    text = F.coalesce("text", F.lit(""))
+    size = F.length(text)
+    indented = F.col("x0") > F.avg("x0").over(Window.partitionBy(*page)) + 30
+    kind = (
+        F.when(F.length(F.regexp_replace(text, r"^\s+|\s+$", "")) < 3, "paragraph")
+        .when(text.rlike(f"^({'|'.join(LIST_STARTS)})") | (indented & (size < 200)), "list_item")
+        .when((F.col("font") >= 14) & F.col("bold"), "title")
+        .when(F.col("bold") & (F.col("font") >= 11) & (size < 150), "heading")
+        .when(text.rlike("|".join(HEADING_TEXTS)), "heading")
+        .otherwise("paragraph")
+    )
+    return blocks.withColumn("element_type", kind)
+
+
+def overlapping(a: Column, b: Column, margin: float = 5) -> Column:
+    """Boxes (x0, y0, x1, y1) overlap or come within the margin; touching counts."""
+    return (a["x1"] + margin >= b["x0"]) & (a["x0"] - margin <= b["x1"]) & (a["y1"] + margin >= b["y0"]) & (a["y0"] - margin <= b["y1"])
+
+
+def captioned(tables: DataFrame, lines: DataFrame, page: list[str]) -> DataFrame:
+    """Tables (page columns, table_id, x0, y0, x1, y1) with caption: the text of the lines wholly in the 40 units above, 20 wider on both sides, if it reads like one.
+
+    Tables and lines of one page meet, so a group is a page; lines are joined by newlines in order of y0 and x0.
+    """
+    at = tables.select(*page, "table_id", F.greatest(F.lit(0.0), F.col("x0") - 20).alias("a0"), F.greatest(F.lit(0.0), F.col("y0") - 40).alias("b0"), (F.col("x1") + 20).alias("a1"), F.col("y0").alias("b1"))
+    above = lines.join(at, page).where("x0 >= a0 AND x1 <= a1 AND y0 >= b0 AND y1 <= b1")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "text"))), lambda s: s["text"]), "\n")
+    whole = above.groupBy(*page, "table_id").agg(F.regexp_replace(text, r"^\s+|\s+$", "").alias("caption"))
+    fits = F.col("caption").rlike("|".join(CAPTIONS))
+    return tables.join(whole.where(fits), [*page, "table_id"], "left")
+
+
+def placed_tables(tables: DataFrame, elements: DataFrame, page: list[str]) -> DataFrame:
+    """Tables (page columns, table_id, y0) with element_id: the last element (page columns, seq, element_id, y0) of the same band of 50 units."""
+    band = F.floor(F.col("y0") / 50).alias("_band")
+    last = elements.groupBy(*page, band).agg(F.max_by("element_id", "seq").alias("element_id"))
+    return tables.select("*", band).join(last, [*page, "_band"], "left").drop("_band")

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellum.plans import analytics, checks, evidence, forms, ingest, search
+from tessellum.plans import analytics, checks, evidence, forms, ingest, search, tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES, **evidence.QUERIES, **analytics.QUERIES, **ingest.QUERIES, **forms.QUERIES, **checks.QUERIES}
-ORACLE_SQL: dict[str, str] = {**search.ORACLE_SQL, **evidence.ORACLE_SQL, **analytics.ORACLE_SQL, **ingest.ORACLE_SQL, **forms.ORACLE_SQL, **checks.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**search.QUERIES, **evidence.QUERIES, **analytics.QUERIES, **ingest.QUERIES, **forms.QUERIES, **checks.QUERIES, **tables.QUERIES}
+ORACLE_SQL: dict[str, str] = {**search.ORACLE_SQL, **evidence.ORACLE_SQL, **analytics.ORACLE_SQL, **ingest.ORACLE_SQL, **forms.ORACLE_SQL, **checks.ORACLE_SQL, **tables.ORACLE_SQL}
 FLAGSHIP = "bm25_topk"
