@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellum.functions.text import simple_tokens
+from tessellum.operators import chunks
 
 #: Rows of one side of a tile of vectors.
 TILE_QUERIES, TILE_ROWS = 1024, 8192
@@ -122,3 +123,14 @@ def unit(vector: Column) -> Column:
     """A vector at length 1; null if it has no length."""
     length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return F.when(length > 0, F.transform(vector, lambda x: x.cast("double") / length))
+
+
+def is_table_hit() -> Column:
+    """A chunk (chunk_type, table_id) is the summary of a table."""
+    return F.coalesce((F.col("chunk_type") == "table_summary") & F.col("table_id").isNotNull(), F.lit(False))
+
+
+def with_tables(hits: DataFrame, tables: DataFrame) -> DataFrame:
+    """Chunks or hits (doc_id, table_id, ...) with the markdown of their table (doc_id, table_id, headers, rows), null without one."""
+    shown = tables.select("doc_id", "table_id", chunks.markdown(chunks.headers(F.col("headers")), chunks.cells(F.col("rows"))).alias("markdown"))
+    return hits.join(shown, ["doc_id", "table_id"], "left")

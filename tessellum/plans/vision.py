@@ -150,5 +150,5 @@ CASE WHEN bad THEN 'VLM classification failed: timeout' WHEN c < 0.5 THEN 'Low c
 CASE WHEN ab IS NULL THEN '' ELSE 'classification.a.b=' || ab || ',' END || 'note=' || coalesce(n, 'n') AS fields, i IS NOT NULL AS corrected, i AS correction_id FROM w""",
     "reviewed_artifacts": _REVIEWED,
     "review_totals": f"SELECT count(*) AS n, count(*) FILTER (reviewed) AS n_reviewed, count(*) FILTER (reviewed AND approved) AS n_approved, count(*) FILTER (reviewed AND NOT approved) AS n_rejected FROM ({_REVIEWED})",
-    "table_captions": """SELECT o_orderkey AS page, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 THEN CASE o_orderkey % 4 WHEN 0 THEN 'Table 3: Costs' WHEN 1 THEN 'TABLE A-1 - More' END END AS caption, CAST(o_orderkey % 2 AS INT) AS element_id, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS near FROM orders""",
+    "table_captions": """SELECT o_orderkey AS page, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 20 = 10 THEN 'table 2. ' || chr(10) || 'second' WHEN o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 THEN CASE o_orderkey % 4 WHEN 0 THEN 'Table 3: Costs' WHEN 1 THEN 'TABLE A-1 - More' END END AS caption, CAST(o_orderkey % 2 AS INT) AS element_id, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS near FROM orders""",
 }
