@@ -1,11 +1,12 @@
 """Log-bilinear language model trained by noise-contrastive estimation, over counts of the whole training corpus.
 
-Tokens are the words of a text, lower-cased, and one end. The TOP most frequent words are classes of their own; all
-others share BUCKETS classes by a hash, and within a bucket a word has its smoothed share of the bucket's tokens. The
-model predicts a token's class from the class before it: score(v | u) = (r_u C) . r_v + b_v. Noise-contrastive
-estimation needs of the corpus only how often each pair of classes stands side by side, so Spark counts pairs over
-every training text and the numpy training sees all of them at a fixed size. Products of whole batches of contexts
-with all classes, normalised, give the log-probabilities; as a context is one class, all of them fit a table.
+Tokens are the words of a text, lower-cased, and one end. The most frequent words are classes of their own, more of
+them the more tokens there are (top_classes); all others share BUCKETS classes by a hash, and within a bucket a word
+has its smoothed share of the bucket's tokens. The model predicts a token's class from the class at each of the
+SHARES positions before it, score_k(v | u) = (r_u C_k) . r_v + b_v, and mixes the positions' normalised probabilities.
+Noise-contrastive estimation needs of the corpus only how often each pair of classes stands at each distance, so
+Spark counts pairs over every training text and the numpy training sees all of them. Products of whole batches of
+contexts with all classes, normalised, give the log-probabilities; as each is of one class, all of them fit tables.
 """
 
 from __future__ import annotations
@@ -23,8 +24,11 @@ from pyspark.sql import functions as F
 
 from tessellum.llm.common import checkpointed
 
-TOP = 960
+#: Classes of their own: TOP_SCALE times the TOP_ROOT-th root of the training tokens.
+TOP_SCALE, TOP_ROOT = 120, 8
 BUCKETS = 63
+#: Weights of the positions before a token, the nearest first.
+SHARES = (0.6, 0.4)
 #: Words, the most frequent ones, whose counts each worker holds; the counts of all other words are joined.
 HOT = 1 << 18
 DIMENSIONS = 24
@@ -36,6 +40,11 @@ CHUNK = 1 << 22
 FLUSH = 400_000
 
 
+def top_classes(total: int) -> int:
+    """Words that are classes of their own, for a number of training tokens: 954 for 16 million, 2,263 for 16 billion."""
+    return round(TOP_SCALE * total ** (1 / TOP_ROOT))
+
+
 def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
@@ -78,7 +87,7 @@ def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
 
 @dataclass
 class Model:
-    """Of the training corpus: tokens, types, and of each hot word the count, class, and share of its class; log10 of class pairs."""
+    """Of the training corpus: tokens, types, and of each hot word the count, class, and share of its class; log10 of class pairs at each position."""
 
     total: int
     types: int
@@ -114,69 +123,96 @@ class Model:
         return index, cls, ends + 1 - sizes, flat
 
 
+def before(cls: np.ndarray, starts: np.ndarray, position: int) -> np.ndarray:
+    """The class `position` tokens before each token of its row; the end, 0, before the row's first."""
+    out = np.zeros_like(cls)
+    out[position:] = cls[: len(cls) - position]
+    for at in range(position):
+        first = starts + at
+        sizes = np.append(starts[1:], len(cls)) - starts
+        out[first[sizes > at]] = 0
+    return out
+
+
 def fit(pairs: np.ndarray, dimensions: int = DIMENSIONS, noise: int = NOISE, steps: int = STEPS, seed: int = 7) -> np.ndarray:
-    """log10 probabilities [context, class] of the log-bilinear model that noise-contrastive estimation fits to pair counts.
+    """log10 probabilities [position, context, class] of the log-bilinear model that noise-contrastive estimation fits to pair counts.
 
     The expectation over the noise is taken exactly: each context's pairs, against `noise` draws a pair from the
-    unigram distribution. Full-batch Adam; deterministic.
+    unigram distribution. Positions share the vectors r and biases b and have a matrix each. Full-batch Adam; deterministic.
     """
-    v = len(pairs)
-    data = pairs.astype(np.float32)
-    total = max(1.0, float(data.sum()))
-    unigram = (data.sum(0) + 0.5) / (total + 0.5 * v)
+    positions, v = pairs.shape[:2]
+    total = max(1.0, float(pairs[0].sum(dtype=np.float64)))
+    unigram = ((pairs[0].sum(0, dtype=np.float64) + 0.5) / (total + 0.5 * v)).astype(np.float32)
     log_noise = np.log(noise * unigram)
-    against = noise * data.sum(1)[:, None] / total * unigram[None, :]
-    data /= total
+    data = (pairs / np.float32(total)).astype(np.float32)
+    contexts = data.sum(2)
     random = np.random.default_rng(seed)
     r = random.normal(0, 0.1, (v, dimensions)).astype(np.float32)
-    c = np.eye(dimensions, dtype=np.float32)
-    b = np.log(unigram).astype(np.float32)
+    c = np.stack([np.eye(dimensions, dtype=np.float32)] * positions)
+    b = np.log(unigram)
     values = [r, c, b]
     first, second = [np.zeros_like(x) for x in values], [np.zeros_like(x) for x in values]
     for step in range(1, steps + 1):
-        q = r @ c
-        logit = np.clip(q @ r.T + b - log_noise, -30, 30)
-        p = 1 / (1 + np.exp(-logit))
-        g = data * (1 - p) - against * p
-        gr = g @ r
-        slopes = [gr @ c.T + g.T @ q - 1e-7 * r, r.T @ gr, g.sum(0)]
+        slopes = [-1e-7 * r, np.zeros_like(c), np.zeros_like(b)]
+        for k in range(positions):
+            q = r @ c[k]
+            p = q @ r.T
+            p += b - log_noise
+            np.clip(p, -30, 30, out=p)
+            np.exp(-p, out=p)
+            p += 1
+            np.reciprocal(p, out=p)
+            g = data[k] * (1 - p)
+            p *= contexts[k][:, None]
+            p *= noise * unigram
+            g -= p
+            gr = g @ r
+            slopes[0] += gr @ c[k].T + g.T @ q
+            slopes[1][k] = r.T @ gr
+            slopes[2] += g.sum(0)
         rate = 0.05 * (1 - step / (steps + 1))
         for x, s, m, n in zip(values, slopes, first, second, strict=True):
             m += 0.1 * (s - m)
             n += 0.01 * (s * s - n)
             x += rate * (m / (1 - 0.9**step)) / (np.sqrt(n / (1 - 0.99**step)) + 1e-9)
-    out = np.empty((v, v), np.float32)
-    for at in range(0, v, 256):
-        score = (r[at : at + 256] @ c) @ r.T + b
-        score -= score.max(1, keepdims=True)
-        out[at : at + 256] = (score - np.log(np.exp(score).sum(1, keepdims=True))) / np.log(10)
+    out = np.empty((positions, v, v), np.float32)
+    for k in range(positions):
+        for at in range(0, v, 256):
+            score = (r[at : at + 256] @ c[k]) @ r.T + b
+            score -= score.max(1, keepdims=True)
+            out[k, at : at + 256] = (score - np.log(np.exp(score).sum(1, keepdims=True))) / np.log(10)
     return out
 
 
-def class_pairs(texts: DataFrame, text_col: str, model: Model) -> np.ndarray:
-    """How often each class follows each other, a text's end before its first word, over all rows of texts."""
+def class_pairs(texts: DataFrame, text_col: str, model: Model, positions: int = len(SHARES)) -> np.ndarray:
+    """[position, context, class]: how often each class follows each other at each distance, a text's end before its first word, over all rows of texts.
+
+    A task holds one count for each cell, 8 * positions * classes^2 bytes: 24 MB at 80 million tokens.
+    """
     v = model.top + 1 + BUCKETS
     known = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(v * v, np.int64)
+        seen = np.zeros(positions * v * v, np.int64)
         for _, rows in _chunks(batches, text_col):
-            _, cls, _, _ = known.value.encode(rows)
-            before = np.concatenate([[0], cls[:-1]])
-            seen += np.bincount(before.astype(np.int64) * v + cls, minlength=v * v)
+            _, cls, starts, _ = known.value.encode(rows)
+            for k in range(positions):
+                pair, n = np.unique((k * v + before(cls, starts, k + 1).astype(np.int64)) * v + cls, return_counts=True)
+                seen[pair] += n
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["pair", "n"])
 
     found = texts.select(text_col).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(v * v)
+    out = np.zeros(positions * v * v, np.float32)
     out[found["pair"].to_numpy()] = found["n"].to_numpy()
-    return out.reshape(v, v)
+    return out.reshape(positions, v, v)
 
 
-def train(texts: DataFrame, text_col: str = "text", *, top: int = TOP, hot: int = HOT, steps: int = STEPS) -> tuple[Model, DataFrame]:
+def train(texts: DataFrame, text_col: str = "text", *, top: int | None = None, hot: int = HOT, steps: int = STEPS) -> tuple[Model, DataFrame]:
     """(model, counts (word, n) of all training words), from every row of texts; null text is the empty one, of one end.
 
-    The driver gets `hot` words at most, and at most (top + 1 + BUCKETS)^2 pair counts, at any input size.
+    The driver gets `hot` words at most, and at most (top + 1 + BUCKETS)^2 pair counts a position; top is
+    top_classes of the training tokens unless it is given, so that a thousand times the tokens have 2.4 times the classes.
     """
     texts = texts.select(F.col(text_col).cast("string").alias(text_col))
     counts = checkpointed(word_counts(texts, text_col))
@@ -186,7 +222,7 @@ def train(texts: DataFrame, text_col: str = "text", *, top: int = TOP, hot: int
     bars = counts.groupBy("n").agg(F.count("*").alias("words"))
     least = bars.withColumn("above", F.sum("words").over(Window.orderBy(F.desc("n")))).where(F.col("above") <= hot).agg(F.min("n")).first()[0]
     best = counts.where(F.col("n") >= (least if least is not None else 1 << 62)).toPandas().sort_values(["n", "word"], ascending=[False, True])
-    top = min(top, len(best))
+    top = min(top_classes(words + ends) if top is None else top, len(best))
     spelled = [w.encode("utf-8", "surrogatepass") for w in best["word"]]
     n = best["n"].to_numpy(np.int64)
     bucket = np.array([zlib.crc32(w) % BUCKETS for w in spelled], np.int64)
@@ -196,7 +232,7 @@ def train(texts: DataFrame, text_col: str = "text", *, top: int = TOP, hot: int
     mass = tokens_in + 0.5 * (types_in + 1)
     classes = np.where(np.arange(len(n)) < top, np.arange(len(n)) + 1, top + 1 + bucket).astype(np.int32)
     within = np.where(np.arange(len(n)) < top, 0.0, np.log10((n + 0.5) / mass[bucket]))
-    model = Model(words + ends, types + (ends > 0), ends, dict(zip(spelled, range(len(n)), strict=True)), n, classes, within, top, mass, np.zeros((0, 0)))
+    model = Model(words + ends, types + (ends > 0), ends, dict(zip(spelled, range(len(n)), strict=True)), n, classes, within, top, mass, np.zeros((0, 0, 0)))
     model.pairs = fit(class_pairs(texts, text_col, model), steps=steps)
     return model, counts
 
@@ -226,8 +262,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
             base[hot] = base_hot[index[hot]]
             base[last] = base_end
             model_score[hot] = m.within[index[hot]]
-            before = np.concatenate([[0], cls[:-1]])
-            model_score += m.pairs[before, cls]
+            mixed = np.zeros(len(flat))
+            for k, share in enumerate(SHARES):
+                mixed += share * np.power(10.0, m.pairs[k, before(cls, starts, k + 1), cls])
+            model_score += np.log10(mixed)
             known_n = hot.astype(np.int64)
             known_n[last] = int(m.ends > 0)
             rare = ~hot

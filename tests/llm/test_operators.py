@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -445,7 +446,17 @@ def test_lm_counts_and_probabilities(spark, real):
         base = sum(math.log10((n + 0.5) / (total + 0.5 * (types + 1))) for n in [*(c[x] for x in w), ends])
         assert r.n_tokens == len(w) + 1 and r.n_known == sum(c[x] > 0 for x in w) + 1 and r.train_tokens == total
         assert math.isclose(r.base_score, base, rel_tol=1e-9)
-    assert np.allclose((10.0 ** model.pairs.astype(float)).sum(1), 1, atol=1e-3)
+    assert np.allclose((10.0 ** model.pairs.astype(float)).sum(-1), 1, atol=1e-3)
+    n = {r["word"]: r["n"] for r in counts.collect()}
+    for r in found[:40]:
+        classes, want = [0, 0], 0.0
+        for w in [*lm.tokens(text[r.doc_id]), None]:
+            at, bucket = model.hot.get(w), zlib.crc32(w or b"") % lm.BUCKETS
+            cls = 0 if w is None else int(model.classes[at]) if at is not None else model.top + 1 + bucket
+            share = 0.0 if w is None else model.within[at] if at is not None else math.log10((n.get(w.decode(), 0) + 0.5) / model.bucket_tokens[bucket])
+            want += share + math.log10(sum(s * 10.0 ** float(model.pairs[k, classes[-1 - k], cls]) for k, s in enumerate(lm.SHARES)))
+            classes.append(cls)
+        assert math.isclose(r.score, want, rel_tol=1e-5)
     held = [r for r in found if r.doc_id % 3 == 0]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
