@@ -202,9 +202,10 @@ def class_pairs(texts: DataFrame, text_col: str, model: Model, positions: int =
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["pair", "n"])
 
-    found = texts.select(text_col).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    found = texts.select(text_col).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(positions * v * v, np.float32)
-    out[found["pair"].to_numpy()] = found["n"].to_numpy()
+    for part in found.to_batches():
+        out[part["pair"].to_numpy()] = part["n"].to_numpy()
     return out.reshape(positions, v, v)
 
 
@@ -221,10 +222,10 @@ def train(texts: DataFrame, text_col: str = "text", *, top: int | None = None, h
     # the hot words by a histogram of counts, so that no task ranks all words
     bars = counts.groupBy("n").agg(F.count("*").alias("words"))
     least = bars.withColumn("above", F.sum("words").over(Window.orderBy(F.desc("n")))).where(F.col("above") <= hot).agg(F.min("n")).first()[0]
-    best = counts.where(F.col("n") >= (least if least is not None else 1 << 62)).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    best = counts.where(F.col("n") >= (least if least is not None else 1 << 62)).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     top = min(top_classes(words + ends) if top is None else top, len(best))
-    spelled = [w.encode("utf-8", "surrogatepass") for w in best["word"]]
-    n = best["n"].to_numpy(np.int64)
+    spelled = best["word"].cast(pa.binary()).to_pylist()
+    n = best["n"].to_numpy()
     bucket = np.array([zlib.crc32(w) % BUCKETS for w in spelled], np.int64)
     per = {r["b"]: (r["n"], r["words"]) for r in counts.groupBy((F.crc32(F.col("word").cast("binary")) % BUCKETS).alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
     tokens_in = np.array([per.get(b, (0, 0))[0] for b in range(BUCKETS)], float) - np.bincount(bucket[:top], weights=n[:top], minlength=BUCKETS)
