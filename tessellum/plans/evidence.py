@@ -161,6 +161,16 @@ def validate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.inline(found))
 
 
+def presence_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings on the critical fields of each order's merged tiers, and whether it goes to review."""
+    of = lambda c, name: F.max(F.when(F.col("field") == c, F.col(name)))
+    wide = merge_tiers(spark, sf_dir).groupBy("doc_id").agg(*[of(c, n).alias(f"{c}_{n}") for c in CRITICAL for n in ("value", "confidence")])
+    rules = validation.presence_rules({c: (F.col(f"{c}_value"), F.col(f"{c}_confidence")) for c in CRITICAL})
+    found = F.filter(F.array(*[F.when(rule, F.struct(F.lit(a).alias("rule"), F.lit(b).alias("severity"))) for a, b, rule in rules]), lambda x: x.isNotNull())
+    text = F.array_join(F.transform("f", lambda x: F.concat(x["rule"], F.lit(":"), x["severity"])), ",")
+    return wide.select("doc_id", found.alias("f")).select("doc_id", text.alias("findings"), validation.needs_review(F.col("f"), CRITICAL).alias("needs_review"))
+
+
 def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings by rule and severity."""
     return validate_rules(spark, sf_dir).groupBy("rule", "severity").agg(F.count("*").alias("n"))
@@ -169,7 +179,7 @@ def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (bbox_ops, best_match, grounding_score, majority_vote, merge_tiers, overall_confidence, weak_fields, review_queue, review_stats,
-              review_reason_counts, artifact_search, artifact_merge, corrections_stats, corrections_top, training_export, validate_rules, validation_summary)
+              review_reason_counts, artifact_search, artifact_merge, corrections_stats, corrections_top, training_export, validate_rules, validation_summary, presence_findings)
 }
 
 _BOXES = """
@@ -228,6 +238,8 @@ count(*) FILTER (field <> 'priority' AND value <> '' AND confidence >= 0.9) < 2
     "corrections_stats": "SELECT event_type AS field, user_id % 10 AS engineer, count(*) AS n FROM events GROUP BY ALL",
     "corrections_top": "SELECT user_id AS artifact_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, artifact_id LIMIT 10",
     "training_export": "SELECT event_id, event_type AS field, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS old_value, value AS new_value FROM events",
+    "presence_findings": f"""WITH {_MERGED}, g AS (SELECT doc_id, field, CASE WHEN value = '' THEN field || ':error' WHEN confidence < 0.9 THEN field || ':warning' END AS x FROM m WHERE field <> 'priority')
+SELECT doc_id, coalesce(string_agg(x, ',' ORDER BY field), '') AS findings, count(x) > 0 AS needs_review FROM g GROUP BY doc_id""",
     "validate_rules": f"WITH {_RULES} SELECT * FROM v",
     "validation_summary": f"WITH {_RULES} SELECT rule, severity, count(*) AS n FROM v GROUP BY ALL",
 }
