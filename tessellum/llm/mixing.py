@@ -18,6 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from tessellum.llm.common import HEAVY, checkpointed
 
@@ -152,6 +153,19 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return checkpointed(rows.groupBy("k1", "k2", "source").agg(*first, F.count("*").alias("repeats")))
 
 
+def _hashed(value: Column, kind: DataType, seed: int) -> list[Column]:
+    """What xxhash64 is to take of a value, so that nulls count by their places and maps by their entries in any order."""
+    inner = lambda x, of: F.xxhash64(F.lit(seed), *_hashed(x, of, seed))
+    if isinstance(kind, StructType):
+        return [value.isNull(), *[x for f in kind.fields for x in _hashed(value.getField(f.name), f.dataType, seed)]]
+    if isinstance(kind, ArrayType):
+        return [F.size(value), F.transform(value, lambda x: inner(x, kind.elementType))]
+    if isinstance(kind, MapType):
+        whole = StructType().add("key", kind.keyType).add("value", kind.valueType)
+        return [F.size(value), F.array_sort(F.transform(F.map_entries(value), lambda x: inner(x, whole)))]
+    return [value.isNull(), value.cast("string") if isinstance(kind, VariantType) else value]
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, *, weights: Sequence[float] = (5, 2, 1), max_copies: float = 3, seed: int = 17
 ) -> DataFrame:
@@ -178,14 +192,13 @@ def mixed_documents(
 ) -> DataFrame:
     """The rows of docs, all columns, each as often as the mix takes it; weights, nulls, ties and empty tables as in mix().
 
-    Equal rows are equal in all columns that can be hashed. Texts are not shuffled, but for tables with more than HEAVY
+    Equal rows are equal in all columns, nulls standing in the same places, maps by their entries in any order. Texts are not shuffled, but for tables with more than HEAVY
     different rows that stand there twice or more: only the table of sources is joined to them. Columns may have any name.
     """
     source, text = docs[f"`{source_col}`"].cast("string"), docs[f"`{text_col}`"].cast("string")
     size = n_words(text)
     weight = length_weight(size) if weight_col is None else F.greatest(F.coalesce(docs[f"`{weight_col}`"].cast("double"), F.lit(0.0)), F.lit(0.0))
-    hashed = [docs[f"`{f.name}`"] for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
-    key = [F.xxhash64(F.lit(k), *hashed).alias(f"k{k}") for k in (1, 2)]
+    key = [F.xxhash64(F.lit(k), *[x for f in docs.schema.fields for x in _hashed(docs[f"`{f.name}`"], f.dataType, k)]).alias(f"k{k}") for k in (1, 2)]
     each = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), source.alias("s"), size.alias("size"), weight.alias("weight"), *key)
     groups = _grouped(each.select(F.lit(None).cast("long").alias("doc_id"), F.col("s").alias("source"), "size", "weight", "k1", "k2"))
     per_source, sources = plan(groups, weights=weights, max_copies=max_copies, seed=seed)
