@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm import credentials, langid, licenses, lm, media, mixing, pieces, quality, simhash, urls
+from tessellum.llm import credentials, dialogue, langid, licenses, lm, media, mixing, pieces, quality, simhash, urls
 from tessellum.llm.common import crc_mod, documents
 
 
@@ -70,6 +70,12 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, model, counts, keep={"held_out": held_out})
 
 
+def op11_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table with faults planted by a hash of conversation and turn, then repaired."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return dialogue.repairs(dialogue.damage(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_urls": op2_urls,
@@ -81,5 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_licenses": op9_licenses,
     "op10_lm": op10_lm,
+    "op11_dialogue": op11_dialogue,
 }
 ORACLE_SQL: dict[str, str] = {"op8_quality": quality.ORACLE, "op9_licenses": licenses.ORACLE}
