@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +53,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def _with_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessellum-checkpoint-"))
+    return context.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut off from its lineage by a reliable checkpoint in the folder that the session names.
 
@@ -59,13 +70,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     missing setting is an error, as a machine's own folder would be lost with it. The folders go when their tables are
     no longer used, if the session sets spark.cleaner.referenceTracking.cleanCheckpoints.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if named is None and not (context.master == "local" or context.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessellum-checkpoint-"))
+    _with_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -93,3 +98,14 @@ def with_parts(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
     if not most:
         return rows.withColumn("parts", F.lit(1).cast("long"))
     return rows.join(F.broadcast(heavy) if most <= HEAVY else heavy, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name below the one where checkpoints go, which every executor reaches; by the rules of checkpointed()."""
+    return f"{_with_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that shared_folder() named."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
