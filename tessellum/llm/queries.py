@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellum.llm import credentials, dialogue, langid, licenses, lm, media, mixing, pieces, quality, quantize, simhash, urls
+from tessellum.llm import credentials, dialogue, hyperminhash, langid, licenses, lm, media, mixing, pieces, quality, quantize, simhash, urls
 from tessellum.llm.common import crc_mod, documents
 
 
@@ -76,6 +76,11 @@ def op11_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repairs(dialogue.damage(rows))
 
 
+def op12_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of five-word shingles, links at a Jaccard similarity of 0.85."""
+    return hyperminhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight parts, 16 entries, six rounds."""
     return quantize.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": op9_licenses,
     "op10_lm": op10_lm,
     "op11_dialogue": op11_dialogue,
+    "op12_hyperminhash": op12_hyperminhash,
     "op13_codes": op13_codes,
 }
 ORACLE_SQL: dict[str, str] = {"op8_quality": quality.ORACLE, "op9_licenses": licenses.ORACLE}

@@ -55,13 +55,19 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
                 keep.append(similar(known[a] if a in known else shingles(x.as_py(), words), known[b], similarity))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(keep, pa.bool_())], ["a", "b", "similar"])
 
-    # an id with many pairs is dealt out in parts, and its text is sent to each
+    return with_both(pairs, texts.withColumnRenamed("text", "value")).mapInArrow(run, "a long, b long, similar boolean")
+
+
+def with_both(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids of values (id, value), with their values: (a, b, x, y).
+
+    An id with many pairs is dealt out in parts, and its value is sent to each.
+    """
     for end, other in (("a", "b"), ("b", "a")):
         pairs = with_parts(pairs, [end], PARTNERS).withColumn(f"{end}_part", F.pmod(F.xxhash64(other), F.col("parts"))).withColumnRenamed("parts", f"{end}_parts")
 
     def held(end: str, side: str) -> DataFrame:
-        each = pairs.groupBy(end).agg(F.max(f"{end}_parts").alias("parts")).join(texts, F.col(end) == F.col("id"))
-        return each.select(end, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias(f"{end}_part"), F.col("text").alias(side))
+        each = pairs.groupBy(end).agg(F.max(f"{end}_parts").alias("parts")).join(values, F.col(end) == F.col("id"))
+        return each.select(end, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias(f"{end}_part"), F.col("value").alias(side))
 
-    joined = pairs.join(held("a", "x"), ["a", "a_part"]).join(held("b", "y"), ["b", "b_part"])
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similar boolean")
+    return pairs.join(held("a", "x"), ["a", "a_part"]).join(held("b", "y"), ["b", "b_part"]).select("a", "b", "x", "y")
