@@ -141,10 +141,15 @@ def test_estimates_are_near_and_free_of_chance():
             x, y = h[:n], np.concatenate([h[:both], h[n:]])
             guesses.append(hyperminhash.estimate(hyperminhash.sketch(x.view(np.int64)), hyperminhash.sketch(y.view(np.int64)), np.array(n), np.array(m))[0])
         assert abs(np.mean(guesses) - similarity) < 0.03
-    # bits of few mantissas agree by chance about as often as the correction says
-    chance = float(hyperminhash.by_chance(np.array(20_000), np.array(30_000)))
-    agree = 0
-    for _ in range(60):
-        x, y = (hyperminhash.sketch(rnd.integers(0, 2**64, k, np.uint64).view(np.int64)) for k in (20_000, 30_000))
-        agree += (x == y).sum()
-    assert 0.3 * chance < agree / (60 * 128) < 3 * chance + 1e-3
+
+
+def test_registers_of_disjoint_sets_agree_as_often_as_the_correction_says(monkeypatch):
+    monkeypatch.setattr(hyperminhash, "MANTISSA", 2)
+    rnd = np.random.default_rng(6)
+    for n, m in ((20_000, 30_000), (2000, 40_000), (600, 600)):
+        agree = 0
+        for _ in range(100):
+            x, y = (hyperminhash.sketch(rnd.integers(0, 2**64, k, np.uint64).view(np.int64)) for k in (n, m))
+            agree += ((x == y) & (x != 0)).sum()
+        chance = float(hyperminhash.by_chance(np.array(n), np.array(m)))
+        assert 0.85 * chance < agree / 12_800 < 1.15 * chance
