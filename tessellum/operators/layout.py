@@ -17,10 +17,11 @@ CAPTIONS = (r"(?i)^Table\s+[\dA-Za-z.\-]+[:.]\s*.+$", r"(?i)^Table\s+[\dA-Za-z.\
 def paragraphs(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, place, text, x0, y0, x1, y1, font) from lines (keys, seq, text, x0, y0, x1, y1, font), in order of seq.
 
-    A line joins the running paragraph, whose indent and font are those of its first line and whose end is that of
-    its last, so it is an ordered fold. keys should name a page: one group is the lines of one page.
+    A line joins the running paragraph, whose indent and font, and bold if lines have it, are those of its first line and
+    whose end is that of its last, so it is an ordered fold. keys should name a page: one group is the lines of one page.
     """
-    fields = ("text", "x0", "y0", "x1", "y1", "font")
+    first = ["font", *[c for c in lines.columns if c == "bold"]]
+    fields = ("text", "x0", "y0", "x1", "y1", *first)
     ordered = F.array_sort(F.collect_list(F.struct("seq", *fields)))
     page = lines.groupBy(*keys).agg(F.transform(ordered, lambda s: F.struct(*[s[f].alias(f) for f in fields])).alias("lines"))
 
@@ -29,7 +30,7 @@ def paragraphs(lines: DataFrame, keys: list[str]) -> DataFrame:
         near = (line["y0"] - last["y1"] < GAP) & (F.abs(line["font"] - last["font"]) < FONT) & (F.abs(line["x0"] - last["x0"]) < INDENT)
         joined = F.struct(
             F.concat(last["text"], F.lit(" "), line["text"]).alias("text"), last["x0"].alias("x0"), last["y0"].alias("y0"),
-            F.greatest(last["x1"], line["x1"]).alias("x1"), line["y1"].alias("y1"), last["font"].alias("font"),
+            F.greatest(last["x1"], line["x1"]).alias("x1"), line["y1"].alias("y1"), *[last[c].alias(c) for c in first],
         )
         return F.when(near, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(line)))
 
