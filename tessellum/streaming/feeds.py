@@ -143,7 +143,7 @@ class _Poll(StatefulProcessor):
             self.handle.registerTimer(limit)
         began, limit = self.began.get()
         last = began + self.millis
-        met = at[(rows[self.done].fillna(False).astype(bool)) & ((at < last) | self.waits_by_clock)]
+        met = at[rows[self.done].eq(True).fillna(False).astype(bool) & ((at < last) | self.waits_by_clock)]
         if len(met):
             yield self._end(key, "done", int(met.iloc[0]))
         elif not self.waits_by_clock and (at >= last).any():
