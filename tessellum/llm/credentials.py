@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -48,6 +49,17 @@ def _bits(value: str) -> float:
     return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in spans:
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
 def candidates(text: str | None) -> list[tuple[str, int, int, int, str]]:
     """(kind, start, end, start of the value, its sha256) by start, then kind, in code points, ends exclusive. Each kind is leftmost and does not overlap itself."""
     out = []
@@ -57,8 +69,14 @@ def candidates(text: str | None) -> list[tuple[str, int, int, int, str]]:
             if len(value) >= least and (kind != "entropy" or _bits(value) >= ENTROPY):
                 out.append((kind, m.start(), m.end(), m.start(group), hashlib.sha256(value.encode()).hexdigest()))
     rank = KINDS.index
-    taken = [(s, e) for k, s, e, *_ in out if k in BASE]
-    out = [x for x in out if x[0] in BASE or not any(s < x[2] and x[1] < e for s, e in taken)]
+    taken = _joined(sorted((s, e) for k, s, e, *_ in out if k in BASE))
+    starts = [s for s, _ in taken]
+
+    def free(start: int, end: int) -> bool:
+        k = bisect_left(starts, end) - 1
+        return k < 0 or taken[k][1] <= start
+
+    out = [x for x in out if x[0] in BASE or free(x[1], x[2])]
     return sorted(out, key=lambda x: (x[1], rank(x[0])))
 
 
