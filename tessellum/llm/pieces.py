@@ -9,7 +9,9 @@ so a text falls into chunks there, and each worker keeps the chunks it has solve
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -62,7 +64,11 @@ class Vocabulary:
         return self.__dict__ | {"_automaton": None, "_memo": {}}
 
     def _solve(self, chunk: str) -> bytes:
-        """The ids of one chunk's best segmentation, as int32 bytes."""
+        """The ids of one chunk's best segmentation, as int32 bytes; of equally good last pieces the longest.
+
+        The automaton gives its matches in the order of their ends, and each is relaxed as it comes: scores are kept for as
+        many positions as the longest piece has characters, and six bytes a position say where its best piece began.
+        """
         if self._automaton is None:
             self._automaton = ahocorasick.Automaton()
             for piece, score, i in self.pieces:
@@ -70,25 +76,40 @@ class Vocabulary:
             self._automaton.make_automaton()
             self._unknown = min(score for _, score, _ in self.pieces) - UNKNOWN
             self._single = {p for p, _, _ in self.pieces if len(p) == 1}
+            self._longest = max(len(p) for p, _, _ in self.pieces)
         text = chunk.replace(" ", MARK)
-        n = len(text)
-        best, back = [0.0] + [-np.inf] * n, [(0, -1)] * (n + 1)
-        ends: list[list] = [[] for _ in range(n)]
-        for end, piece in self._automaton.iter(text):
-            ends[end].append(piece)
-        for end in range(n):
-            for length, score, i in ends[end]:
-                total = best[end + 1 - length] + score
-                if total > best[end + 1]:
-                    best[end + 1], back[end + 1] = total, (end + 1 - length, i)
-            if text[end] not in self._single and best[end] + self._unknown > best[end + 1]:
-                best[end + 1], back[end + 1] = best[end] + self._unknown, (end, -1)
-        ids: list[int] = []
+        n, ring, unknown, single = len(text), self._longest + 2, self._unknown, self._single
+        best = [-math.inf] * ring
+        best[0] = 0.0
+        piece_of, length_of = array("i", bytes(4 * (n + 1))), array("H", bytes(2 * (n + 1)))
+        now = 0  # the character whose matches are being relaxed
+
+        def close(upto: int) -> None:
+            """A character that is no piece may stand for itself, once all matches that end at it are known."""
+            for k in range(now, upto):
+                after = (k + 1) % ring
+                if text[k] not in single and best[k % ring] + unknown > best[after]:
+                    best[after], piece_of[k + 1], length_of[k + 1] = best[k % ring] + unknown, -1, 1
+                best[(k + 2) % ring] = -math.inf
+
+        for end, (length, score, i) in self._automaton.iter(text):
+            if end > now:
+                close(end)
+                now = end
+            total = best[(end + 1 - length) % ring] + score
+            if total > best[(end + 1) % ring]:
+                best[(end + 1) % ring], piece_of[end + 1], length_of[end + 1] = total, i, length
+        close(n)
+        ids = array("i")
         while n:
-            start, i = back[n]
-            ids.extend([i] if i >= 0 else [self.byte_ids[b] for b in reversed(text[start:n].encode())])
+            start, i = n - length_of[n], piece_of[n]
+            if i >= 0:
+                ids.append(i)
+            else:
+                ids.extend(self.byte_ids[b] for b in reversed(text[start:n].encode()))
             n = start
-        return np.array(ids[::-1], np.int32).tobytes()
+        ids.reverse()
+        return ids.tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as int32 bytes. A literal MARK is spelled in bytes, so that decoding gives it back; the empty text has no ids."""
@@ -118,7 +139,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, m
     """(doc_id, ids array<int>, n_tokens long, exact boolean), a row for each row of docs.
 
     exact: decoding the ids gave the text again. Null text has null in all three; empty text has no ids. Repeated rows
-    each get their row, an empty table gives an empty one; only the two columns named are read. The model's file is
+    each get their row, an empty table gives an empty one; only the two columns named are read. Of equally good last
+    pieces the longest wins. A very long text is taken whole, by chunks of words; one without blanks is one chunk, for which
+    a task holds its characters, six bytes for each, and its ids. The model's file is
     read on the driver, and its pieces (under 2 MB) are sent to each worker once.
     """
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
