@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessellum.functions import text
 from tessellum.operators import chunks, search
-from tessellum.sources import tables
+from tessellum.sources import index, state, tables
 
 K = 10
 
@@ -38,6 +38,16 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(search.expand(hits, docs.select("doc_id", "lang", "source"), "doc_id"))
 
 
+def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index that is written, loaded and asked."""
+    folder = state.scratch(spark, "index")
+    index.build(search.tokenized(_documents(spark, sf_dir), "doc_id", "text"), folder)
+    held = index.load(spark, folder)
+    scores = held.bm25(_asked(spark, sf_dir))
+    hits = search.top_k(scores.withColumn("score", F.round("score", 9)), K, positive=True)
+    return _rounded(search.expand(hits, _table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id"))
+
+
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens and different tokens of each document."""
     t = text.simple_tokens(F.col("text"))
@@ -107,7 +117,7 @@ def doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (bm25_topk, token_stats, doc_freq, vector_topk, vector_label_share, hybrid_topk, chunk_windows, table_markdown, table_surrogate, doc_ids)
+    f.__name__: f for f in (bm25_topk, bm25_stored, token_stats, doc_freq, vector_topk, vector_label_share, hybrid_topk, chunk_windows, table_markdown, table_surrogate, doc_ids)
 }
 
 _TOKENS = r"list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '[^\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z][a-zA-Z0-9]+')), lambda w: lower(w))"
@@ -153,3 +163,4 @@ SELECT doc_id, k AS chunk, len(t[k * 320 + 1 : k * 320 + 400]) AS n_tokens, arra
 || CASE WHEN len(r) > 3 THEN chr(10) || 'Total rows: ' || len(r) ELSE '' END AS text FROM t""",
     "doc_ids": "SELECT page_id, upper(substr(regexp_replace(regexp_replace(url, '[^A-Za-z0-9]', '_', 'g'), '^_+|_+$', '', 'g'), 1, 30)) AS slug FROM pages",
 }
+ORACLE_SQL["bm25_stored"] = ORACLE_SQL["bm25_topk"]

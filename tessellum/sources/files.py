@@ -27,6 +27,33 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
+def header(rows: DataFrame, record: str, *order: str) -> list[str]:
+    """The keys of the maps in column `record`, in the order in which they are first seen: by row, within a row by place.
+
+    Each task sums up its keys, so only the header comes to the driver. Columns of order should tell rows apart.
+    """
+    seen = rows.select(F.struct(*order).alias("_row"), F.posexplode(F.map_keys(record)).alias("_place", "_key"))
+    first = seen.groupBy("_key").agg(F.min(F.struct("_row", "_place")).alias("_first"))
+    return [r[0] for r in first.orderBy("_first").select("_key").collect()]
+
+
+def flattened(rows: DataFrame, record: str, *order: str) -> DataFrame:
+    """A column for each key of header(), in that order; empty where a row does not have it or has null."""
+    return rows.select(*[F.coalesce(F.try_element_at(F.col(record), F.lit(k)), F.lit("")).alias(k) for k in header(rows, record, *order)])
+
+
+def export_json(rows: DataFrame, path: str, record: str) -> None:
+    """One JSON object a line, with the record's members that are not null."""
+    rows.select(F.to_json(F.map_filter(record, lambda k, v: v.isNotNull())).alias("value")).write.mode("overwrite").text(path)
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored index, None if there is none."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+    return spark.read.parquet(path) if found else None
+
+
 def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, size, modified) of the files under path; their content is not read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
