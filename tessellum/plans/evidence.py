@@ -144,20 +144,21 @@ def training_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings on each order's year, four amounts, and gap between price and the sum of its lines.
 
-    Some orders have a year from 1700 on, amounts are a thousandfold or negative for some, so that each rule finds some.
+    Some orders have a year from 1700 on, or one that doesn't read as four digits, amounts are a thousandfold or negative for some, so that each rule finds some.
     """
     lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
     o = _table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     key = F.col("o_orderkey")
     price = F.round(F.col("o_totalprice") * 100).cast("long")
     year = F.when(key % 7 == 0, 1700 + key % 400).otherwise(F.year("o_orderdate")).cast("string")
+    year = F.when(key % 23 == 5, F.concat(F.lit("'"), F.substring(year, 3, 2))).when(key % 29 == 6, F.concat(year, F.lit("?"))).when(key % 31 == 7, " ").otherwise(year)
     amounts = {name: price * F.when(key % m == 0, 1000).when(key % m == 1, -1).otherwise(1) for name, m in (("price", 11), ("land", 13), ("cost", 17), ("rent", 19))}
     rules = [
         *validation.year_rules(year, F.year(F.current_date())),
         *[rule for name, cents in amounts.items() for rule in validation.amount_rules(name, cents)],
         validation.gap_rule(price, F.col("cents")),
     ]
-    found = F.filter(F.array(*[F.when(F.coalesce(r, F.lit(False)), F.struct(F.lit(a).alias("rule"), F.lit(b).alias("severity"))) for a, b, r in rules]), lambda x: x.isNotNull())
+    found = F.array_compact(F.array(*[F.when(F.coalesce(r, F.lit(False)), F.struct(F.lit(a).alias("rule"), F.lit(b).alias("severity"))) for a, b, r in rules]))
     return o.select("o_orderkey", F.inline(found))
 
 
@@ -166,7 +167,7 @@ def presence_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda c, name: F.max(F.when(F.col("field") == c, F.col(name)))
     wide = merge_tiers(spark, sf_dir).groupBy("doc_id").agg(*[of(c, n).alias(f"{c}_{n}") for c in CRITICAL for n in ("value", "confidence")])
     rules = validation.presence_rules({c: (F.col(f"{c}_value"), F.col(f"{c}_confidence")) for c in CRITICAL})
-    found = F.filter(F.array(*[F.when(rule, F.struct(F.lit(a).alias("rule"), F.lit(b).alias("severity"))) for a, b, rule in rules]), lambda x: x.isNotNull())
+    found = F.array_compact(F.array(*[F.when(rule, F.struct(F.lit(a).alias("rule"), F.lit(b).alias("severity"))) for a, b, rule in rules]))
     text = F.array_join(F.transform("f", lambda x: F.concat(x["rule"], F.lit(":"), x["severity"])), ",")
     return wide.select("doc_id", found.alias("f")).select("doc_id", text.alias("findings"), validation.needs_review(F.col("f"), CRITICAL).alias("needs_review"))
 
@@ -211,10 +212,11 @@ w AS (SELECT event_id, array_to_string(reasons, ',') AS reasons, round(least(1.0
 """
 _RULES = """
 l AS (SELECT l_orderkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents FROM lineitem GROUP BY l_orderkey),
-o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 1700 + o_orderkey % 400 ELSE year(o_orderdate) END AS y, CAST(round(o_totalprice * 100) AS BIGINT) AS p, cents FROM orders LEFT JOIN l ON o_orderkey = l_orderkey),
+o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 1700 + o_orderkey % 400 ELSE year(o_orderdate) END AS y0, CAST(round(o_totalprice * 100) AS BIGINT) AS p, cents FROM orders LEFT JOIN l ON o_orderkey = l_orderkey),
+t AS (SELECT *, CASE WHEN k % 23 = 5 THEN '''' || substr(CAST(y0 AS VARCHAR), 3, 2) WHEN k % 29 = 6 THEN y0 || '?' WHEN k % 31 = 7 THEN ' ' ELSE CAST(y0 AS VARCHAR) END AS s FROM o), y AS (SELECT *, CASE WHEN regexp_full_match(s, '[0-9]{4}') THEN CAST(s AS INT) END AS y FROM t),
 m(rule, d) AS (VALUES ('price', 11), ('land', 13), ('cost', 17), ('rent', 19)),
 a AS (SELECT k, rule, p * CASE k % d WHEN 0 THEN 1000 WHEN 1 THEN -1 ELSE 1 END AS c FROM o, m),
-v AS (SELECT k AS o_orderkey, 'year' AS rule, 'warning' AS severity FROM o WHERE y < 1800 UNION ALL SELECT k, 'year', 'error' FROM o WHERE y > year(current_date) + 2
+v AS (SELECT k AS o_orderkey, 'year' AS rule, 'warning' AS severity FROM y WHERE y < 1800 UNION ALL SELECT k, 'year', 'error' FROM y WHERE y > year(current_date) + 2 UNION ALL SELECT k, 'year_format', 'error' FROM y WHERE y IS NULL AND trim(s) <> ''
  UNION ALL SELECT k, rule, 'error' FROM a WHERE c < 0 UNION ALL SELECT k, rule, 'warning' FROM a WHERE c > 10000000000 UNION ALL SELECT k, 'gap', 'warning' FROM o WHERE abs(p - cents) * 5 > cents)
 """
 ORACLE_SQL: dict[str, str] = {
