@@ -1,6 +1,7 @@
 """From raw documents to token ids: quality rules, near-duplicates, secrets, mixing, encoding.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Any column
+may be null, extra columns stay whatever their names, very long texts are taken whole, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,27 +15,36 @@ from tessellum.llm.common import checkpointed, documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a rule rejects go."""
+    """Documents that a rule rejects go. A null or empty text has too few words and goes; repeated rows are judged each alike."""
     return quality.quality_filter(docs, rules=quality.PIPELINE_RULES)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts with a five-word-shingle similarity of 0.8 or more stays, the one of the least id."""
+    """One document of each group of texts with a five-word-shingle similarity of 0.8 or more stays, the one of the least id.
+
+    A null id comes last, ties go by a hash of id and text. Repeated rows are one document; null and blank texts are one group.
+    """
     return simhash.without_near_duplicates(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking secrets are masked; documents stay."""
+    """Live-looking secrets are masked; documents stay, repeated rows and null texts too. Spans that start together go by kind."""
     return credentials.redact(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it: not at all, once or up to three times.
+
+    A null source is a source; null texts have no words, so copies of them count for nothing. Equal rows are drawn each on its own, equal ranks go by hash.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether decoding them gives the text again."""
+    """Token ids of each document, and whether decoding them gives the text again.
+
+    A null text has null in all of it. Of equally good last pieces the longest wins; repeated rows each have theirs.
+    """
     return pieces.encode(docs)
 
 
