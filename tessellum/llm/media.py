@@ -35,6 +35,8 @@ CUTS = [
 BITS = 18
 #: Rows of one side of a tile.
 QUERIES, ROWS = 8192, 16384
+#: Integers of one side of a tile, on average; a longer recording is taken whole.
+INTEGERS = 1 << 21
 #: Votes, or integers, compared in one go.
 PART = 1 << 21
 
@@ -101,91 +103,147 @@ def with_integers(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).cast("binary").alias("media")).mapInArrow(run, "doc_id long, items binary")
 
 
+def _joined(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All integers after one another, and each recording's length and start in them."""
+    size = np.array([len(x) for x in items], np.int64)
+    return np.concatenate([np.zeros(0, np.uint32), *items]), size, np.cumsum(size) - size
+
+
 def _runs(items: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """(value, recording, start, length) of all runs of one value, of each integer's lower and of its upper BITS, sorted by value."""
-    found = [(np.zeros(0, np.int64),) * 4]
-    for i, x in enumerate(items):
-        for high, part in ((0, x & np.uint32((1 << BITS) - 1)), (1 << BITS, x >> np.uint32(32 - BITS))):
-            start = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
-            found.append((part[start].astype(np.int64) + high, np.full(len(start), i), start, np.diff(np.append(start, len(part)))))
-    columns = [np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True)]
+    """(value, recording, start, length) of all runs of one value, of each integer's lower and of its upper BITS, sorted by value, then recording, then start."""
+    x, size, begin = _joined(items)
+    found = [(np.zeros(0, np.int32),) * 4]
+    for high, part in ((0, x & np.uint32((1 << BITS) - 1)), (1 << BITS, x >> np.uint32(32 - BITS))):
+        new = np.ones(len(x), bool)
+        new[1:] = part[1:] != part[:-1]
+        new[begin[size > 0]] = True
+        at = np.flatnonzero(new)
+        owner = (np.searchsorted(begin + size, at, "right")).astype(np.int32)
+        found.append((part[at].astype(np.int32) + np.int32(high), owner, (at - begin[owner]).astype(np.int32), np.diff(np.append(at, len(x))).astype(np.int32)))
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)]
     order = np.argsort(columns[0], kind="stable")
     return tuple(c[order] for c in columns)
 
 
-def _bends(key: np.ndarray, first: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, weight), summed: where the histograms' slopes change. Two runs of n and m equal values make a trapezoid from `first` on; key + offset is unique.
+def _within(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each of n, after one another."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _points(key: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, votes) of all pairs of places of runs of n and m equal values; key is that of both first places."""
+    long = n * m > 1
+    n, m = n[long], m[long]
+    k, wide = _within(n * m), np.repeat(m, n * m)
+    keys = np.concatenate([key[~long], np.repeat(key[long], n * m) + k % wide - k // wide])
+    keys.sort()
+    new = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[new], np.diff(np.append(new, len(keys)))
+
+
+def _bends(key: np.ndarray, n: np.ndarray, m: np.ndarray, span: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same by where the histograms' slopes change: two runs of n and m equal values make a trapezoid.
 
-    The place before each is there as well, with no weight, as a slope's top may be there.
+    The place before each bend is there as well, as a slope's top may be there, and each pair's offset 0, which may be the
+    least of a level top. No other place is fuller, or as full and nearer to zero.
     """
-    at = np.concatenate([key + first + x for x in (0, np.minimum(n, m), np.maximum(n, m), n + m)])
-    keys, where = np.unique(np.concatenate([at, at - 1]), return_inverse=True)
-    one = np.ones(len(n))
-    return keys, np.bincount(where, weights=np.concatenate([one, -one, -one, one, np.zeros(len(at))]), minlength=len(keys))
-
-
-def _errors(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(share of different bits, length) of the overlaps of a[i] and b[j], where b's place is a's place plus offset."""
-    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    fa, fb = np.cumsum(na) - na, np.cumsum(nb) - nb
-    xa, xb = np.concatenate(a), np.concatenate(b)
-    start = np.maximum(0, -offset)
-    size = np.minimum(na[i], nb[j] - offset) - start
+    at = np.concatenate([key - n + 1 + x for x in (0, np.minimum(n, m), np.maximum(n, m), n + m)])
+    keys, where = np.unique(np.concatenate([at, at - 1, key // span * span + half]), return_inverse=True)
+    one = np.ones(len(n), np.int64)
+    bends = np.bincount(where[: len(at)], weights=np.concatenate([one, -one, -one, one]), minlength=len(keys))
+    slope = np.cumsum(bends)  # each pair's bends sum up to zero, so the next pair begins level
+    step, new = np.diff(keys, prepend=0), np.diff(keys // span, prepend=-1) != 0
+    votes = np.cumsum(np.where(new, slope, np.append(0, slope[:-1]) * (step - 1) + slope))
+    return keys, votes.astype(np.int64)
+
+
+def _fullest(keys: np.ndarray, votes: np.ndarray, span: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, offset): each pair's fullest offset, of equally full ones the least, of those the negative."""
+    pair = keys // span
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    most = votes == np.repeat(np.maximum.reduceat(votes, first), np.diff(np.append(first, len(pair))))
+    pair, offset = pair[most], keys[most] % span - half
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    least = np.minimum.reduceat(2 * np.abs(offset) + (offset > 0), first)
+    return pair[first], np.where(least % 2, least // 2, -(least // 2))
+
+
+def _errors(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray, offset: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Share of different bits in the overlaps, of `size` integers, of a[i] and b[j], where b's place is a's place plus offset."""
+    left, right = a[2][i] + np.maximum(0, -offset), b[2][j] + np.maximum(0, offset)
     out = np.zeros(len(i))
     ends = np.cumsum(size)
     cuts = [0, *np.searchsorted(ends, np.arange(PART, ends[-1] if len(ends) else 0, PART)).tolist(), len(i)]
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         if hi > lo:
             n = size[lo:hi]
-            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            left = np.repeat(fa[i[lo:hi]] + start[lo:hi], n) + k
-            right = np.repeat(fb[j[lo:hi]] + start[lo:hi] + offset[lo:hi], n) + k
-            out[lo:hi] = np.add.reduceat(np.bitwise_count(xa[left] ^ xb[right]).astype(np.int64), np.cumsum(n) - n)
-    return out / np.maximum(1, 32 * size), size
+            k = _within(n)
+            wrong = np.bitwise_count(a[0][np.repeat(left[lo:hi], n) + k] ^ b[0][np.repeat(right[lo:hi], n) + k])
+            out[lo:hi] = np.add.reduceat(wrong, np.cumsum(n) - n, dtype=np.int64)
+    return out / (32 * size)
 
 
 def align(queries: list[np.ndarray], rows: list[np.ndarray], most_error: float, least_overlap: int) -> tuple[np.ndarray, ...]:
-    """(query, row, offset, error) of all pairs that align."""
+    """(query, row, offset, error) of all pairs that align.
+
+    The votes are counted in parts, each of whole pairs of recordings and of at most PART places or bends; a part with more
+    is halved by queries, then by rows, and a single pair with more has a histogram of its own, as long as both recordings.
+    """
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0),)]
+    a, b = _joined(queries), _joined(rows)
     value, owner, place, length = _runs(rows)
     q_value, q_owner, q_place, q_length = _runs(queries)
-    order = np.lexsort((q_place, q_owner))
-    q_value, q_owner, q_place, q_length = q_value[order], q_owner[order], q_place[order], q_length[order]
-    lo, hi = np.searchsorted(value, q_value, "left"), np.searchsorted(value, q_value, "right")
-    half = max([2, *map(len, queries)]) + max([2, *map(len, rows)])  # no offset, nor the place after or before one, is farther from zero
+    value = value.astype(np.int64) * len(rows) + owner
+    low, high = (np.searchsorted(value, q_value.astype(np.int64) * len(rows) + x) for x in (0, len(rows)))
+    order = np.flatnonzero(high > low)
+    order = order[np.argsort(q_owner[order], kind="stable")]
+    q_value, q_owner, q_place, q_length, low, high = (x[order] for x in (q_value, q_owner, q_place, q_length, low, high))
+    half = int(max([2, *a[1].tolist()]) + max([2, *b[1].tolist()]))  # no offset, nor the place after or before one, is farther from zero
     span = 2 * half + 1
-    found: list[tuple[np.ndarray, ...]] = []
-    ends = np.cumsum(hi - lo)
-    first = np.flatnonzero(np.diff(q_owner, prepend=-1)) if len(q_owner) else np.zeros(0, np.int64)
-    at = 0
-    while at < len(first):  # whole queries, of about PART pairs of runs
-        begin = first[at]
-        upto = np.searchsorted(ends[np.append(first[1:], len(ends)) - 1], (ends[begin - 1] if begin else 0) + PART, "right")
-        at = max(at + 1, int(upto))
-        stop = first[at] if at < len(first) else len(ends)
-        keys, bends = np.zeros(0, np.int64), np.zeros(0)
-        for cut in np.split(np.arange(begin, stop), np.searchsorted(ends[begin:stop], np.arange(ends[begin] + PART, ends[stop - 1], PART))):
-            n = (hi - lo)[cut]
-            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[cut], n)
-            pair = np.repeat(q_owner[cut], n) * len(rows) + owner[k]
-            start, size = np.repeat(q_place[cut], n), np.repeat(q_length[cut], n)
-            more = _bends(pair * span + half, place[k] - start - size + 1, size, length[k])
-            keys, where = np.unique(np.concatenate([keys, more[0]]), return_inverse=True)
-            bends = np.bincount(where, weights=np.concatenate([bends, more[1]]), minlength=len(keys))
-        if not len(keys):
+    q_key, key = q_owner.astype(np.int64) * len(rows) * span + half - q_place, owner.astype(np.int64) * span + place
+    upto = np.append(0, np.cumsum(length, dtype=np.int64))
+    begin = np.searchsorted(q_owner, np.arange(len(queries) + 1))
+    parts = [(0, len(queries), 0, len(rows))]
+    while parts:
+        q0, q1, r0, r1 = parts.pop()
+        cut = slice(begin[q0], begin[q1])
+        lo, hi = low[cut], high[cut]
+        if (r0, r1) != (0, len(rows)):
+            lo, hi = (np.searchsorted(value, q_value[cut].astype(np.int64) * len(rows) + x) for x in (r0, r1))
+        n = hi - lo
+        pairs, places = int(n.sum()), int((q_length[cut] * (upto[hi] - upto[lo])).sum())
+        if not pairs:
+            continue
+        if min(places, 8 * pairs) <= PART:
+            k = _within(n) + np.repeat(lo, n)
+            keys, sizes = np.repeat(q_key[cut], n) + key[k], (np.repeat(q_length[cut], n).astype(np.int64), length[k].astype(np.int64))
+            pair, offset = _fullest(*(_points(keys, *sizes) if places <= 8 * pairs else _bends(keys, *sizes, span, half)), span, half)
+        elif q1 - q0 > 1:
+            parts += [(q0, (q0 + q1) // 2, r0, r1), ((q0 + q1) // 2, q1, r0, r1)]
             continue
-        pair, offset = keys // span, keys % span - half
-        slope = np.cumsum(bends)  # each pair's bends sum up to zero, so the next pair begins level
-        step = np.diff(offset, prepend=0)
-        new = np.diff(pair, prepend=-1) != 0
-        votes = np.cumsum(np.where(new, slope, np.append(0, slope[:-1]) * (step - 1) + slope))
-        best = np.lexsort((np.abs(offset), -votes, pair))
-        best = best[np.diff(pair[best], prepend=-1) != 0]
-        q, row, offset = pair[best] // len(rows), pair[best] % len(rows), offset[best]
-        error, size = _errors(queries, rows, q, row, offset)
-        shorter = np.minimum(np.array([len(x) for x in queries])[q], np.array([len(x) for x in rows])[row])
-        keep = (error <= most_error) & (size >= np.maximum(least_overlap, shorter / 2))
-        found.append((q[keep], row[keep], offset[keep], error[keep]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+        elif r1 - r0 > 1:
+            parts += [(q0, q1, r0, (r0 + r1) // 2), (q0, q1, (r0 + r1) // 2, r1)]
+            continue
+        else:
+            bends = np.zeros(span + 1, np.int64)
+            ends = np.cumsum(n)
+            edges = [0, *np.searchsorted(ends, np.arange(PART, pairs, PART)).tolist(), len(n)]
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                k = _within(n[x:y]) + np.repeat(lo[x:y], n[x:y])
+                one, other = np.repeat(q_length[cut][x:y], n[x:y]).astype(np.int64), length[k].astype(np.int64)
+                first = half + place[k] - np.repeat(q_place[cut][x:y], n[x:y]) - one + 1
+                for where, sign in ((0, 1), (np.minimum(one, other), -1), (np.maximum(one, other), -1), (one + other, 1)):
+                    bends += sign * np.bincount(first + where, minlength=span + 1)
+            votes = np.cumsum(np.cumsum(bends))[:span]
+            pair, offset = _fullest((q0 * len(rows) + r0) * span + np.arange(span), votes, span, half)
+        i, j = pair // len(rows), pair % len(rows)
+        size = np.minimum(a[1][i], b[1][j] - offset) - np.maximum(0, -offset)
+        fits = (size > 0) & (size >= np.maximum(least_overlap, np.minimum(a[1][i], b[1][j]) / 2))
+        i, j, offset = i[fits], j[fits], offset[fits]
+        error = _errors(a, b, i, j, offset, size[fits])
+        keep = error <= most_error
+        found.append((i[keep], j[keep], offset[keep], error[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def search(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", *, every: int = 20, most_error: float = 0.2, least_overlap: int = 16) -> DataFrame:
@@ -200,15 +258,17 @@ def search(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", *
     ones the least. Null or empty media have no integers and align with nothing; very long ones are taken whole. Rows with a null id find themselves in their recording, and count; a recording of null ids only
     has no name and is not searched. Repeated rows each get their row; an empty table gives an empty one.
 
-    Queries and recordings meet in tiles of QUERIES by ROWS, so all queries see all recordings, no task more than a
-    tile, and only a sum and a best a query leave it.
+    Queries and recordings meet in tiles of QUERIES by ROWS, or of fewer if they are long, so all queries see all recordings
+    that are long enough to align, no task more than a tile, and only a sum and a best a query leave it.
     """
     each = checkpointed(with_integers(media, id_col, media_col))
     asks = F.coalesce(F.pmod(F.col("doc_id"), F.lit(every)) == 0, F.lit(False))
     classes = checkpointed(each.groupBy("items").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.max(asks).alias("asks")).where("id is not null"))
-    n, n_asks = classes.agg(F.count("*"), F.count_if("asks")).first()
-    blocks, groups = max(1, math.ceil(n_asks / QUERIES)), max(1, math.ceil(n / ROWS))
-    some = classes.where(F.length("items") > 0)
+    size = (F.length("items") / 4).cast("long")
+    some = classes.where(size >= max(1, least_overlap))  # no overlap is longer than the shorter recording
+    n, n_asks, sizes, sizes_asks = some.agg(F.count("*"), F.count_if("asks"), F.sum(size), F.sum(F.when(F.col("asks"), size))).first()
+    blocks = max(1, math.ceil(n_asks / QUERIES), math.ceil((sizes_asks or 0) / INTEGERS))
+    groups = max(1, math.ceil(n / ROWS), math.ceil((sizes or 0) / INTEGERS))
     block, group = F.pmod(F.xxhash64("id", F.lit("q")), F.lit(blocks)), F.pmod(F.xxhash64("id", F.lit("r")), F.lit(groups))
     all_of = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     left = some.where("asks").select(block.cast("int").alias("block"), all_of(groups).alias("group"), F.lit(True).alias("query"), "id", "n", "items")
