@@ -4,7 +4,7 @@ An Aho-Corasick automaton over the vocabulary's pieces reads a text once. At eac
 all pieces that end there, longest first, and each relaxes the best score of a segmentation up to that position:
 Viterbi in the same pass. A character that is no piece costs the least score less UNKNOWN, and is spelled in byte
 pieces. Pieces can't cross from a letter to a space or touch a line break (checked when the vocabulary is read),
-so a text falls into chunks there, and each worker keeps the chunks it has solved.
+so a text falls into chunks there, and each worker keeps the short chunks that it solved or met of late.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -26,11 +26,32 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN = 10.0
-#: Solved chunks that a worker keeps; it starts anew when they are more.
+#: Solved chunks that a worker keeps, at most.
 MEMO = 300_000
+#: Characters of a chunk that is kept, and solved in lists as long as itself.
+SHORT = 64
 _CHUNKS = re.compile(r"\n| *[^ \n]+| +")
 
 
+class _Solved(dict):
+    """The ids of chunks, solved when they are first asked for. When half of MEMO are here they become the older ones, of which those asked for come back and the others go."""
+
+    def __init__(self, solve: Callable[[str], bytes]) -> None:
+        self.solve, self.older = solve, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(chunk) > SHORT:
+            return self.solve(chunk)
+        found = self.older.get(chunk)
+        if found is None:
+            found = self.solve(chunk)
+        if len(self) >= MEMO // 2:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = found
+        return found
+
+
 @dataclass
 class Vocabulary:
     """Pieces of a model: (text with MARK for a space, score, id); the id of each byte; the bytes of each id."""
@@ -40,7 +61,7 @@ class Vocabulary:
     spelled: list[bytes]
     crossing: bool
     _automaton: object = field(default=None, repr=False)
-    _memo: dict[str, bytes] = field(default_factory=dict, repr=False)
+    _memo: _Solved | None = field(default=None, repr=False)
 
     @classmethod
     def read(cls, path: str = MODEL) -> Vocabulary:
@@ -61,7 +82,7 @@ class Vocabulary:
         return cls(pieces, byte_ids, spelled, any(re.search(f"[^{MARK}]{MARK}|\n", p) for p, _, _ in pieces))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_automaton": None, "_memo": {}}
+        return self.__dict__ | {"_automaton": None, "_memo": None}
 
     def _solve(self, chunk: str) -> bytes:
         """The ids of one chunk's best segmentation, as int32 bytes; of equally good last pieces the longest.
@@ -78,6 +99,8 @@ class Vocabulary:
             self._single = {p for p, _, _ in self.pieces if len(p) == 1}
             self._longest = max(len(p) for p, _, _ in self.pieces)
         text = chunk.replace(" ", MARK)
+        if len(text) <= SHORT and self._single.issuperset(text):
+            return self._solve_short(text)
         n, ring, unknown, single = len(text), self._longest + 2, self._unknown, self._single
         best = [-math.inf] * ring
         best[0] = 0.0
@@ -111,28 +134,39 @@ class Vocabulary:
         ids.reverse()
         return ids.tobytes()
 
+    def _solve_short(self, text: str) -> bytes:
+        """The same for a short text of which each character is a piece, so that a piece ends everywhere."""
+        n = len(text)
+        best, last = [-math.inf] * n, [None] * n
+        best.append(0.0)  # before the first character, at -1
+        for end, match in self._automaton.iter(text):
+            length, score, _ = match
+            total = best[end - length] + score
+            if total > best[end]:
+                best[end], last[end] = total, match
+        ids, end = [], n - 1
+        while end >= 0:
+            length, _, i = last[end]
+            ids.append(i)
+            end -= length
+        return array("i", ids[::-1]).tobytes()
+
     def encode(self, text: str) -> bytes:
         """The ids of a text as int32 bytes. A literal MARK is spelled in bytes, so that decoding gives it back; the empty text has no ids."""
         if not text:
             return b""
-        memo, out = self._memo, []
+        if self._memo is None:
+            self._memo = _Solved(self._solve)
+        out = []
         for k, part in enumerate((" " + text).split(MARK)):
             if k:
                 out.append(np.array([self.byte_ids[b] for b in MARK.encode()], np.int32).tobytes())
-            for chunk in [part] if self.crossing and part else _CHUNKS.findall(part):
-                found = memo.get(chunk)
-                if found is None:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    found = self._solve(chunk)
-                    if len(chunk) <= 64:
-                        memo[chunk] = found
-                out.append(found)
+            out.extend(map(self._memo.__getitem__, [part] if self.crossing and part else _CHUNKS.findall(part)))
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, ids of control pieces nothing."""
-        return b"".join([self.spelled[i] for i in ids]).decode("utf-8", "replace")[1:]
+        return b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, model: str = MODEL) -> DataFrame:
@@ -176,6 +210,6 @@ def decode(encoded: DataFrame, ids_col: str = "ids", *, model: str = MODEL, text
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda ids: None if ids is None else known.value.decode(list(ids)))
+            yield batch.map(lambda ids: None if ids is None else known.value.decode(np.asarray(ids).tolist()))
 
     return encoded.withColumn(text_col, run(F.col(ids_col)))
