@@ -22,6 +22,8 @@ RATE = 8000
 FRAME, HOP = 256, 64
 #: Frames that an integer looks at.
 WIDTH = 16
+#: Frames, about, that the filters go over at once.
+FRAMES = 1 << 12
 #: (kind, first pitch class, pitch classes, frames): a band's later against earlier half, upper against lower half, checkerboard, middle third against the rest.
 FILTERS = [(kind, first, height, frames) for kind, first, height, frames in ((k, f, h, w) for k in range(4) for f, h, w in ((0, 12, 16), (0, 6, 12), (6, 6, 8), (3, 6, 6)))]
 #: Of each filter, the answers that part its codes, about the quartiles over ordinary recordings.
@@ -39,11 +41,19 @@ QUERIES, ROWS = 8192, 16384
 INTEGERS = 1 << 21
 #: Votes, or integers, compared in one go.
 PART = 1 << 21
+#: Queries of a part are fewer if the keys of their votes fit into an integer of 32 bits, which is sorted sooner.
+NARROW = 1 << 31
+#: Runs shorter than this are taken place by place.
+LONG = 8
+#: Integers, and pairs, that are held against each other in one step.
+STEP, PAIRS = 16, 1 << 13
 
 _PITCH = np.array([0, *(np.round(12 * np.log2(np.arange(1, FRAME // 2 + 1) * RATE / FRAME / 440)).astype(int) % 12)])
 _FOLD = np.zeros((FRAME // 2 + 1, 12), np.float32)
 _FOLD[np.arange(1, FRAME // 2 + 1), _PITCH[1:]] = 1
 _HANN = np.hanning(FRAME).astype(np.float32)
+#: To add up the eight bytes of an integer of 64 bits.
+_EVEN, _BYTE, _FOUR, _TOP = (np.uint64(x) for x in (0x00FF00FF00FF00FF, 8, 0x0001000100010001, 48))
 
 
 def chroma(samples: np.ndarray) -> np.ndarray:
@@ -52,7 +62,7 @@ def chroma(samples: np.ndarray) -> np.ndarray:
     x = samples.astype(np.float32) - 128
     if len(x) < need:
         x = np.concatenate([x, np.zeros(need - len(x), np.float32)])
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+    frames = np.ndarray(((len(x) - FRAME) // HOP + 1, FRAME), x.dtype, x, strides=(4 * HOP, 4))
     out = np.empty((len(frames), 12), np.float32)
     for at in range(0, len(frames), 4096):
         spectrum = np.fft.rfft(frames[at : at + 4096] * _HANN, axis=1)
@@ -63,31 +73,52 @@ def chroma(samples: np.ndarray) -> np.ndarray:
 
 def integers(samples: np.ndarray) -> np.ndarray:
     """The packed integers of one recording, none for an empty one."""
-    if not len(samples):
-        return np.zeros(0, np.uint32)
-    image = chroma(samples)
-    whole = np.zeros((len(image) + 1, 13))
-    whole[1:, 1:] = image.cumsum(0, dtype=np.float64).cumsum(1)
-    n = len(image) - WIDTH + 1
+    return all_integers([samples])[0]
+
+
+def all_integers(recordings: list[np.ndarray]) -> list[np.ndarray]:
+    """The packed integers of each recording. The filters go over the images of recordings of some FRAMES frames at once."""
+    found: list[np.ndarray] = []
+    images: list[np.ndarray] = []
+    frames = 0
+    for samples in recordings:
+        images.append(chroma(samples) if len(samples) else np.zeros((0, 12), np.float32))
+        frames += len(images[-1])
+        if frames >= FRAMES:
+            found += _packed(images)
+            images, frames = [], 0
+    return found + _packed(images)
+
+
+def _packed(images: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each image of frames by pitch classes the packed integers; what the filters say across two images is left out."""
+    if not images:
+        return []
+    ends = np.cumsum([len(image) + 1 for image in images])
+    whole = np.zeros((13, ends[-1] + WIDTH))
+    for image, end in zip(images, ends.tolist(), strict=True):
+        whole[1:, end - len(image) : end] = image.cumsum(0, dtype=np.float64).cumsum(1).T
+    n = ends[-1]
 
     def area(t0: int, t1: int, p0: int, p1: int) -> np.ndarray:
-        return whole[t1 : t1 + n, p1] - whole[t0 : t0 + n, p1] - whole[t1 : t1 + n, p0] + whole[t0 : t0 + n, p0]
+        return whole[p1, t1 : t1 + n] - whole[p1, t0 : t0 + n] - whole[p0, t1 : t1 + n] + whole[p0, t0 : t0 + n]
 
     packed = np.zeros(n, np.uint32)
-    for (kind, p, h, w), cuts in zip(FILTERS, CUTS, strict=True):
-        t, all_of = (WIDTH - w) // 2, area((WIDTH - w) // 2, (WIDTH + w) // 2, p, p + h)
-        if kind == 0:
-            part = area(t + w // 2, t + w, p, p + h)
-        elif kind == 1:
-            part = area(t, t + w, p + h // 2, p + h)
-        elif kind == 2:
-            part = area(t, t + w // 2, p, p + h // 2) + area(t + w // 2, t + w, p + h // 2, p + h)
-        else:
-            part = 1.5 * area(t + w // 3, t + w - w // 3, p, p + h)
-        value = np.log1p(part) - np.log1p(np.maximum(all_of - part, 0))
-        code = np.searchsorted(cuts, value).astype(np.uint32)
-        packed = (packed << np.uint32(2)) | (code ^ (code >> np.uint32(1)))
-    return packed
+    with np.errstate(invalid="ignore", divide="ignore"):  # across two images
+        for (kind, p, h, w), cuts in zip(FILTERS, CUTS, strict=True):
+            t, all_of = (WIDTH - w) // 2, area((WIDTH - w) // 2, (WIDTH + w) // 2, p, p + h)
+            if kind == 0:
+                part = area(t + w // 2, t + w, p, p + h)
+            elif kind == 1:
+                part = area(t, t + w, p + h // 2, p + h)
+            elif kind == 2:
+                part = area(t, t + w // 2, p, p + h // 2) + area(t + w // 2, t + w, p + h // 2, p + h)
+            else:
+                part = 1.5 * area(t + w // 3, t + w - w // 3, p, p + h)
+            value = np.log1p(part) - np.log1p(np.maximum(all_of - part, 0))
+            code = (value > cuts[0]).view(np.uint8) + (value > cuts[1]).view(np.uint8) + (value > cuts[2]).view(np.uint8)
+            packed = (packed << np.uint32(2)) | (code ^ (code >> np.uint8(1)))
+    return [packed[end - len(image) - 1 : end - WIDTH].copy() if len(image) else np.zeros(0, np.uint32) for image, end in zip(images, ends.tolist(), strict=True)]
 
 
 def with_integers(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
@@ -97,7 +128,7 @@ def with_integers(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                items = [integers(np.frombuffer(x.as_py() or b"", np.uint8)).astype("<u4").tobytes() for x in batch["media"]]
+                items = [x.astype("<u4").tobytes() for x in all_integers([np.frombuffer(x.as_py() or b"", np.uint8) for x in batch["media"]])]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(items, pa.binary())], ["doc_id", "items"])
 
     return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).cast("binary").alias("media")).mapInArrow(run, "doc_id long, items binary")
@@ -110,7 +141,10 @@ def _joined(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _runs(items: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """(value, recording, start, length) of all runs of one value, of each integer's lower and of its upper BITS, sorted by value, then recording, then start."""
+    """(value, recording, start, length) of all runs of one value, of each integer's lower and of its upper BITS, sorted by value, then recording, then start.
+
+    A run shorter than LONG is as many runs of one place.
+    """
     x, size, begin = _joined(items)
     found = [(np.zeros(0, np.int32),) * 4]
     for high, part in ((0, x & np.uint32((1 << BITS) - 1)), (1 << BITS, x >> np.uint32(32 - BITS))):
@@ -118,26 +152,41 @@ def _runs(items: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         new[1:] = part[1:] != part[:-1]
         new[begin[size > 0]] = True
         at = np.flatnonzero(new)
+        length = np.diff(np.append(at, len(x)))
+        at = np.flatnonzero(new | np.repeat(length < LONG, length))
         owner = (np.searchsorted(begin + size, at, "right")).astype(np.int32)
         found.append((part[at].astype(np.int32) + np.int32(high), owner, (at - begin[owner]).astype(np.int32), np.diff(np.append(at, len(x))).astype(np.int32)))
     columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-    order = np.argsort(columns[0], kind="stable")
+    order = columns[0].astype(np.int64) << 40 | np.arange(len(columns[0]))
+    order.sort()
+    order &= (1 << 40) - 1
     return tuple(c[order] for c in columns)
 
 
+def _from(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo to lo + n - 1 for each of lo and n, after one another."""
+    return np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+
+
 def _within(n: np.ndarray) -> np.ndarray:
     """0 to n - 1 for each of n, after one another."""
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _points(key: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, votes) of all pairs of places of runs of n and m equal values; key is that of both first places."""
-    long = n * m > 1
-    n, m = n[long], m[long]
-    k, wide = _within(n * m), np.repeat(m, n * m)
-    keys = np.concatenate([key[~long], np.repeat(key[long], n * m) + k % wide - k // wide])
+def _points(key: np.ndarray, q_key: np.ndarray, lo: np.ndarray, n: np.ndarray, q_length: np.ndarray, length: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, votes) of all pairs of places of runs of equal values: each of the query's with the n from lo on. long: it is long, or has a long one among those."""
+    fast = ~long
+    keys = [key[_from(lo[fast], n[fast])]]
+    keys[0] += np.repeat(q_key[fast], n[fast])
+    if long.any():
+        k, n = _from(lo[long], n[long]), n[long]
+        wide = length[k].astype(np.int64)
+        each = np.repeat(q_length[long], n) * wide
+        at, wide = _within(each), np.repeat(wide, each)
+        keys.append((np.repeat(key[k] + np.repeat(q_key[long], n), each) + at % wide - at // wide).astype(key.dtype))
+    keys = np.concatenate(keys)
     keys.sort()
-    new = np.flatnonzero(np.diff(keys, prepend=-1))
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
     return keys[new], np.diff(np.append(new, len(keys)))
 
 
@@ -158,14 +207,36 @@ def _bends(key: np.ndarray, n: np.ndarray, m: np.ndarray, span: int, half: int)
 
 
 def _fullest(keys: np.ndarray, votes: np.ndarray, span: int, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pair, offset): each pair's fullest offset, of equally full ones the least, of those the negative."""
-    pair = keys // span
-    first = np.flatnonzero(np.diff(pair, prepend=-1))
-    most = votes == np.repeat(np.maximum.reduceat(votes, first), np.diff(np.append(first, len(pair))))
-    pair, offset = pair[most], keys[most] % span - half
-    first = np.flatnonzero(np.diff(pair, prepend=-1))
-    least = np.minimum.reduceat(2 * np.abs(offset) + (offset > 0), first)
-    return pair[first], np.where(least % 2, least // 2, -(least // 2))
+    """(pair, offset): each pair's fullest offset, of equally full ones the least, of those the negative. span: a power of two."""
+    bits = span.bit_length() - 1
+    pair, offset = keys >> bits, (keys & (span - 1)).astype(np.int64) - half
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(pair)), bool), pair[1:] != pair[:-1]]))
+    # 0, -1, 1, -2 and so on, the first of them as the largest below the votes
+    most = np.maximum.reduceat((votes << (bits + 1)) - (offset << 1 ^ offset >> 63), first)
+    least = -most & (2 * span - 1)
+    return pair[first].astype(np.int64), least >> 1 ^ -(least & 1)
+
+
+def _hopeful(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray, offset: np.ndarray, size: np.ndarray, most_error: float) -> np.ndarray:
+    """Which overlaps don't have more wrong bits than most_error allows among the integers of their first half or so: the rest fail, whatever follows."""
+    left, right = a[2][i] + np.maximum(0, -offset), b[2][j] + np.maximum(0, offset)
+    # STEP integers from each place on, as one item
+    whole = [np.ndarray((max(0, len(x) - STEP + 1),), f"V{4 * STEP}", np.ascontiguousarray(x, np.uint32), strides=(4,)) for x in (a[0], b[0])]
+    most = most_error * 32 * size + 1
+    out = np.ones(len(i), bool)
+    k, wrong, done = np.arange(len(i)), np.zeros(len(i), np.int64), 0
+    while len(more := np.flatnonzero(size[k] >= done + STEP)):
+        k, wrong = k[more], wrong[more]
+        for at in range(0, len(k), PAIRS):
+            x, y = (w[p[k[at : at + PAIRS]] + done].view(np.uint64) for w, p in zip(whole, (left, right), strict=True))
+            x ^= y
+            each = np.bitwise_count(x).view(np.uint64)  # eight counts of up to 64 in eight bytes
+            wrong[at : at + PAIRS] += ((((each & _EVEN) + (each >> _BYTE & _EVEN)) * _FOUR) >> _TOP).astype(np.int64)
+        done += STEP
+        fits = wrong <= most[k]
+        out[k[~fits]] = False
+        k, wrong = k[fits], wrong[fits]
+    return out
 
 
 def _errors(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray, offset: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -199,10 +270,11 @@ def align(queries: list[np.ndarray], rows: list[np.ndarray], most_error: float,
     order = order[np.argsort(q_owner[order], kind="stable")]
     q_value, q_owner, q_place, q_length, low, high = (x[order] for x in (q_value, q_owner, q_place, q_length, low, high))
     half = int(max([2, *a[1].tolist()]) + max([2, *b[1].tolist()]))  # no offset, nor the place after or before one, is farther from zero
-    span = 2 * half + 1
-    q_key, key = q_owner.astype(np.int64) * len(rows) * span + half - q_place, owner.astype(np.int64) * span + place
+    span = 1 << (2 * half).bit_length()
     upto = np.append(0, np.cumsum(length, dtype=np.int64))
     begin = np.searchsorted(q_owner, np.arange(len(queries) + 1))
+    narrow = max(1, NARROW // (len(rows) * span)) if len(rows) else 1
+    keys_of = {kind: owner.astype(kind) * kind(span) + place.astype(kind) for kind in ([np.int32] if len(rows) * span <= NARROW else []) + [np.int64]}
     parts = [(0, len(queries), 0, len(rows))]
     while parts:
         q0, q1, r0, r1 = parts.pop()
@@ -211,13 +283,21 @@ def align(queries: list[np.ndarray], rows: list[np.ndarray], most_error: float,
         if (r0, r1) != (0, len(rows)):
             lo, hi = (np.searchsorted(value, q_value[cut].astype(np.int64) * len(rows) + x) for x in (r0, r1))
         n = hi - lo
-        pairs, places = int(n.sum()), int((q_length[cut] * (upto[hi] - upto[lo])).sum())
+        each = q_length[cut] * (upto[hi] - upto[lo])
+        pairs, places = int(n.sum()), int(each.sum())
         if not pairs:
             continue
-        if min(places, 8 * pairs) <= PART:
-            k = _within(n) + np.repeat(lo, n)
-            keys, sizes = np.repeat(q_key[cut], n) + key[k], (np.repeat(q_length[cut], n).astype(np.int64), length[k].astype(np.int64))
-            pair, offset = _fullest(*(_points(keys, *sizes) if places <= 8 * pairs else _bends(keys, *sizes, span, half)), span, half)
+        kind = np.int32 if q1 - q0 <= narrow and np.int32 in keys_of else np.int64
+        if min(places, 8 * pairs) <= PART and (q1 - q0 <= narrow or narrow == 1):
+            key = keys_of[kind]
+            q_key = ((q_owner[cut] - q0).astype(kind) * kind(len(rows) * span) + kind(half) - q_place[cut]).astype(kind)
+            if places <= 8 * pairs:
+                keys, votes = _points(key, q_key, lo, n, q_length[cut], length, each > n)
+            else:
+                k = _from(lo, n)
+                keys, votes = _bends((np.repeat(q_key, n) + key[k]).astype(np.int64), np.repeat(q_length[cut], n).astype(np.int64), length[k].astype(np.int64), span, half)
+            pair, offset = _fullest(keys, votes, span, half)
+            pair += q0 * len(rows)
         elif q1 - q0 > 1:
             parts += [(q0, (q0 + q1) // 2, r0, r1), ((q0 + q1) // 2, q1, r0, r1)]
             continue
@@ -229,7 +309,7 @@ def align(queries: list[np.ndarray], rows: list[np.ndarray], most_error: float,
             ends = np.cumsum(n)
             edges = [0, *np.searchsorted(ends, np.arange(PART, pairs, PART)).tolist(), len(n)]
             for x, y in zip(edges[:-1], edges[1:], strict=True):
-                k = _within(n[x:y]) + np.repeat(lo[x:y], n[x:y])
+                k = _from(lo[x:y], n[x:y])
                 one, other = np.repeat(q_length[cut][x:y], n[x:y]).astype(np.int64), length[k].astype(np.int64)
                 first = half + place[k] - np.repeat(q_place[cut][x:y], n[x:y]) - one + 1
                 for where, sign in ((0, 1), (np.minimum(one, other), -1), (np.maximum(one, other), -1), (one + other, 1)):
@@ -239,8 +319,10 @@ def align(queries: list[np.ndarray], rows: list[np.ndarray], most_error: float,
         i, j = pair // len(rows), pair % len(rows)
         size = np.minimum(a[1][i], b[1][j] - offset) - np.maximum(0, -offset)
         fits = (size > 0) & (size >= np.maximum(least_overlap, np.minimum(a[1][i], b[1][j]) / 2))
-        i, j, offset = i[fits], j[fits], offset[fits]
-        error = _errors(a, b, i, j, offset, size[fits])
+        i, j, offset, size = i[fits], j[fits], offset[fits], size[fits]
+        fits = _hopeful(a, b, i, j, offset, size, most_error)
+        i, j, offset, size = i[fits], j[fits], offset[fits], size[fits]
+        error = _errors(a, b, i, j, offset, size)
         keep = error <= most_error
         found.append((i[keep], j[keep], offset[keep], error[keep]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))

@@ -57,3 +57,29 @@ def test_recordings_too_short_to_align_are_not_compared(spark, monkeypatch):
     monkeypatch.setattr(media, "align", lambda a, b, *rest, f=media.align: f(a, b, *rest) if all(len(x) >= 16 for x in a + b) else 1 / 0)
     found = {x.doc_id: x for x in media.search(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
     assert [found[k].n_aligned for k in (20, 22, 40, 60)] == [0, 0, 1, 0] and found[40].best_id == 41 and found[22].recording_id == 20
+
+
+def test_most_overlaps_are_given_up_before_all_of_their_integers_are_held_against_each_other(monkeypatch):
+    random = np.random.default_rng(4)
+    rows = [random.integers(0, 2**32, n).astype(np.uint32) for n in random.integers(16, 400, 300)]
+    for x in rows[::3]:
+        x[5:15] = 7  # all share a value, so that all pairs are voted for
+    near = [x ^ (random.integers(0, 2**32, len(x)) & random.integers(0, 2**32, len(x)) & random.integers(0, 2**32, len(x))).astype(np.uint32) for x in rows[:40]]
+    compared, errors = [], media._errors
+    monkeypatch.setattr(media, "_errors", lambda a, b, i, j, offset, size: compared.append(len(i)) or errors(a, b, i, j, offset, size))
+    q, r, offset, error = media.align(near + rows[:3], rows, 0.2, 16)
+    assert {(k, k) for k in range(40)} <= set(zip(q.tolist(), r.tolist(), strict=True)) and sum(compared) <= 3 * len(q)
+    monkeypatch.setattr(media, "_hopeful", lambda a, b, i, *rest: np.ones(len(i), bool))
+    every = media.align(near + rows[:3], rows, 0.2, 16)
+    assert sum(compared) > 1000
+    held = [sorted(zip(*(x.tolist() for x in found), strict=True)) for found in ((q, r, offset, error), every)]
+    assert held[0] == held[1]
+
+
+def test_filters_over_many_recordings_at_once_say_the_same(monkeypatch):
+    random = np.random.default_rng(5)
+    items = [random.integers(0, 256, n).astype(np.uint8) for n in (0, 1, 255, 256, 1215, 1216, 1217, 1300, 5000, 0, 90_000, 3)] + [np.full(4000, 128, np.uint8)]
+    calls, packed = [], media._packed
+    monkeypatch.setattr(media, "_packed", lambda images: calls.append(len(images)) or packed(images))
+    assert [x.tolist() for x in media.all_integers(items)] == [media.integers(x).tolist() for x in items]
+    assert max(calls[:3]) > 5
