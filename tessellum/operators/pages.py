@@ -2,63 +2,101 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellum.operators import chunks, layout
 
 #: A word belongs to a line if its top is within this of the line's first word; a font is this where none is stated.
 SAME_LINE, PLAIN_FONT = 5.0, 10.0
-#: Height of the bands by which lines and boxes of a page meet.
-BAND = 50
 
 
-def word_lines(words: DataFrame, page: list[str], within: float = SAME_LINE) -> DataFrame:
+def word_lines(words: DataFrame, page: list[str], within: float = SAME_LINE, parts: int | None = None) -> DataFrame:
     """(page columns, line, text, x0, y0, x1, y1, font, bold) from words (page columns, seq, text, x0, top, x1, bottom, size, font_name).
 
     Words go by top, then x0, then seq. A line takes words as long as their top is within `within` of its first word's, so
     small steps down end a line that a comparison of neighbours would go on with. font is the mean of the stated sizes, bold
     says that a font's name has "bold" in it. Words without a top are on no line.
 
-    The first tops of lines are found among the distinct tops of a page, a fold that keeps one number a line; words get
-    theirs by a running window. A page is sorted by one shuffle, and lines are summed up where it left them.
+    The words of a page are gathered, and lines of many pages are found at once. A group is a page, and words that are dealt
+    by page stay where they are. With parts the lines are dealt by page to so many partitions, a row a page, so that all who
+    read them read the same: they are found once.
     """
-    placed = words.where(F.col("top").isNotNull())
-    tops = F.array_sort(F.collect_set(F.col("top").cast("double")))
-    every = placed.groupBy(*page).agg(tops.alias("_tops"))
-    step = lambda found, top: F.when(top - F.element_at(found, -1) <= within, found).otherwise(F.concat(found, F.array(top)))
-    firsts = F.aggregate(F.slice("_tops", 2, F.size("_tops")), F.slice("_tops", 1, 1), step)
-    marks = every.select(*page, F.explode(firsts).alias("_first")).withColumn("top", F.col("_first"))
-    both = placed.withColumn("_first", F.lit(None).cast("double")).unionByName(marks, allowMissingColumns=True)
-    # at the same top the mark comes first
-    so_far = Window.partitionBy(*page).orderBy("top", F.col("_first").asc_nulls_last())
-    told = both.withColumn("_line", F.last("_first", ignorenulls=True).over(so_far)).where("_first IS NULL")
-    in_order = F.array_sort(F.collect_list(F.struct("top", "x0", "seq", "text")))
-    sized = F.when(F.coalesce("size", F.lit(0)) != 0, F.col("size"))
-    lines = told.groupBy(*page, "_line").agg(
-        F.trim(F.array_join(F.transform(in_order, lambda w: w["text"]), " ")).alias("text"),
-        F.min("x0").alias("x0"), F.min("top").alias("y0"), F.max("x1").alias("x1"), F.max("bottom").alias("y1"),
-        F.coalesce(F.avg(sized), F.lit(PLAIN_FONT)).alias("font"),
-        F.coalesce(F.max(F.lower("font_name").contains("bold")), F.lit(False)).alias("bold"),
-    )
-    number = F.row_number().over(Window.partitionBy(*page).orderBy("_line")) - 1
-    return lines.withColumn("line", number).drop("_line")
-
-
-def _bands(low: Column, high: Column) -> Column:
-    return F.sequence(F.floor(low / BAND), F.floor(F.greatest(low, high) / BAND))
+    sized = F.when(F.coalesce("size", F.lit(0)) != 0, F.col("size")).cast("double").alias("size")
+    bold = F.coalesce(F.lower("font_name").contains("bold"), F.lit(False)).alias("bold")
+    word = F.struct(*[F.col(c).cast("double").alias(c) for c in ("top", "x0", "x1", "bottom")], sized, bold, "seq", "text")
+    every = words.where(F.col("top").isNotNull()).groupBy(*page).agg(F.collect_list(word).alias("words"))
+    found = F.arrow_udf(lambda lists: _lines(lists, within), LINES)
+    sheets = every.select(*page, found("words").alias("lines"))
+    lines = (sheets if parts is None else sheets.repartition(parts, *page)).select(*page, F.posexplode("lines").alias("line", "l")).select(*page, "l.*", "line")
+    return lines.withColumn("text", F.trim("text"))
+
+
+#: Of the lines of a page.
+LINES = "array<struct<text string, x0 double, y0 double, x1 double, y1 double, font double, bold boolean>>"
+
+
+def _lines(lists: pa.Array, within: float) -> pa.Array:
+    """The lines of each list of words (top, x0, x1, bottom, size, bold, seq, text) in order."""
+    n, length = len(lists), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    top, x0, x1, bottom, size, bold, seq, text = lists.flatten().flatten()
+    page, tops = np.repeat(np.arange(n), length), top.to_numpy(zero_copy_only=False)
+    keys = [tops, page]  # the last is the first to sort by
+    for column in (x0, seq if pa.types.is_integer(seq.type) else pc.rank(seq, null_placement="at_start", tiebreaker="dense")):
+        nulls = [column.is_valid().to_numpy(zero_copy_only=False)] if column.null_count else []  # they come first
+        keys = [column.fill_null(0).to_numpy(zero_copy_only=False), *nulls, *keys]
+    order = np.lexsort(keys)
+    if len(order) > 1 and np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys]).any():
+        order = np.lexsort([pc.rank(text, null_placement="at_start", tiebreaker="dense").to_numpy(), *keys])
+    page, tops = page[order], tops[order]
+    same = tops[1:] == tops[:-1]
+    same |= np.isnan(tops[1:]) & np.isnan(tops[:-1])
+    new = np.concatenate([np.ones(min(1, len(page)), bool), page[1:] != page[:-1]])
+    other = np.flatnonzero(np.concatenate([new[:1], new[1:] | ~same]))
+    begins, first = [], 0.0
+    for at, fresh, value in zip(other.tolist(), new[other].tolist(), tops[other].tolist(), strict=True):
+        if fresh or not value - first <= within:
+            begins.append(at)
+            first = value
+    at = np.array(begins, np.int64)
+
+    def extreme(column: pa.Array, of: np.ufunc, nothing: float) -> pa.Array:
+        if not column.null_count:
+            return pa.array(of.reduceat(column.to_numpy(zero_copy_only=False)[order], at))
+        valid = column.is_valid().to_numpy(zero_copy_only=False)[order]
+        return pa.array(of.reduceat(np.where(valid, column.to_numpy(zero_copy_only=False)[order], nothing), at), mask=~np.logical_or.reduceat(valid, at))
+
+    if not len(at):
+        return pa.array([[] for _ in range(n)], pa.list_(_LINE))
+    stated = size.is_valid().to_numpy(zero_copy_only=False)[order]
+    many = np.add.reduceat(stated, at, dtype=np.int64)
+    font = np.where(many > 0, np.add.reduceat(np.where(stated, size.fill_null(0).to_numpy(zero_copy_only=False)[order], 0.0), at) / np.maximum(many, 1), PLAIN_FONT)
+    told = text.take(pa.array(order))
+    each = np.add.reduceat(told.is_valid().to_numpy(zero_copy_only=False), at, dtype=np.int64)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(each)).astype(np.int32)), told.drop_null()), " ")
+    columns = [
+        joined, extreme(x0, np.fmin, np.nan), pa.array(tops[at]), extreme(x1, np.maximum, -np.inf), extreme(bottom, np.maximum, -np.inf),
+        pa.array(font), pa.array(np.logical_or.reduceat(bold.to_numpy(zero_copy_only=False)[order], at)),
+    ]
+    ends = np.searchsorted(page[at], np.arange(n + 1))
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(columns, _LINE, strict=True)], fields=list(_LINE)))
+
+
+_LINE = pa.struct([("text", pa.string()), *[(c, pa.float64()) for c in ("x0", "y0", "x1", "y1", "font")], ("bold", pa.bool_())])
 
 
 def outside_boxes(lines: DataFrame, boxes: DataFrame, page: list[str], margin: float = 5) -> DataFrame:
     """The lines (page columns, line, x0, y0, x1, y1) that no box (page columns, x0, y0, x1, y1) of their page overlaps or comes within the margin of.
 
-    Lines and boxes meet by bands of their page's height, so only those near each other are compared.
+    The lines and boxes of one page meet, and a line goes at the first box that is near.
     """
     corners = ("x0", "y0", "x1", "y1")
-    at = lines.select(*page, "line", F.struct(*corners).alias("_a"), F.explode(_bands(F.col("y0"), F.col("y1"))).alias("_band"))
-    box = boxes.select(*page, F.struct(*corners).alias("_b"), F.explode(_bands(F.col("y0") - margin, F.col("y1") + margin)).alias("_band"))
-    hit = at.join(box, [*page, "_band"]).where(layout.overlapping(F.col("_a"), F.col("_b"), margin)).select(*page, "line").distinct()
-    return lines.join(hit, [*page, "line"], "left_anti")
+    box = boxes.select(*[F.col(c).alias(f"_{c}") for c in page], F.struct(*corners).alias("_b"))
+    near = layout.overlapping(F.struct(*corners), F.col("_b"), margin)
+    return lines.join(box, [*[F.col(c) == F.col(f"_{c}") for c in page], near], "left_anti")
 
 
 def numbered(rows: DataFrame, doc: str, page: str, order: list[str], name: str) -> DataFrame:

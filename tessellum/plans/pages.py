@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,15 +32,35 @@ CELLS = (
 )
 IN_TABLE = "line_no % 40 < 3 AND k < ((doc_id + page + line_no) % 6) * 4"
 RULED = "(doc_id * 7 + page) % 3 <> 0"
+#: Bytes of text of a partition of pages, on average.
+BYTES = 4_000_000
 
 
-def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("k", "word")).where("word <> ''").selectExpr(*WORDS)
+def _parts(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions of about BYTES of text. A word's row is some thirty times its text, so the session's number may be too few."""
+    size = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    return max(1, math.ceil((size or 0) / BYTES))
 
 
-def _boxes(words: DataFrame) -> DataFrame:
-    each = words.select("doc_id", "page").distinct().withColumn("tables", F.expr("CAST((doc_id + page) % 4 AS INT)"))
+def _pages(spark: SparkSession, sf_dir: str, parts: int) -> DataFrame:
+    """(doc_id, page, lines) of documents. Texts are dealt by page before they are words, which then stay with their page."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    text = table.select("doc_id", F.split("text", "\n").alias("l"))
+    cut = F.expr("transform(sequence(0, CAST(floor((size(l) - 1) / 40) AS INT)), p -> slice(l, p * 40 + 1, 40))")
+    each = text.select("doc_id", F.posexplode(cut).alias("p", "lines")).select("doc_id", (F.col("p") + 1).cast("long").alias("page"), "lines")
+    return each.repartition(parts, "doc_id", "page")
+
+
+def _words(sheets: DataFrame) -> DataFrame:
+    lines = sheets.select("doc_id", "page", F.posexplode("lines").alias("n", "line")).select("doc_id", "page", F.expr("(page - 1) * 40 + n").alias("line_no"), "line")
+    words = lines.select("doc_id", "page", "line_no", F.posexplode(F.split("line", " ")).alias("k", "word")).where("word <> ''")
+    # the page as it is, by which words are known to be dealt
+    return words.selectExpr(WORDS[0], "page", *WORDS[2:])
+
+
+def _boxes(sheets: DataFrame) -> DataFrame:
+    worded = sheets.where(F.exists("lines", lambda x: F.trim(x) != ""))
+    each = worded.select("doc_id", "page").distinct().withColumn("tables", F.expr("CAST((doc_id + page) % 4 AS INT)"))
     return each.where("tables > 0").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("tables") - 1))).selectExpr(*BOXES)
 
 
@@ -51,27 +72,31 @@ def _cells(words: DataFrame) -> tuple[DataFrame, DataFrame]:
         return row.groupBy("doc_id", "page", "number").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "row"))), lambda s: s["row"]).alias("cells"))
 
     cells = words.where(IN_TABLE).selectExpr(*CELLS)
-    return tables(cells.where(RULED)), tables(cells.withColumn("cell", F.concat("cell", F.lit("*"))))
+    # by the page of the line, which is known only after the exchange of pages, so that both kinds read the same one
+    by_line = words.where(IN_TABLE).where(RULED.replace("page", "(CAST(floor(line_no / 40) AS BIGINT) + 1)")).selectExpr(*CELLS)
+    return tables(by_line), tables(cells.withColumn("cell", F.concat("cell", F.lit("*"))))
 
 
 def word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all words of documents."""
-    found = pages.word_lines(_words(spark, sf_dir), ["doc_id", "page"])
+    found = pages.word_lines(_words(_pages(spark, sf_dir, _parts(spark, sf_dir))), ["doc_id", "page"])
     return found.select("doc_id", "page", "line", F.md5("text").alias("text"), "x0", "y0", "x1", "y1", F.round("font", 6).alias("font"), "bold")
 
 
 def page_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables and paragraphs of each page, numbered through the document."""
-    words = _words(spark, sf_dir)
-    found = pages.page_elements(pages.word_lines(words, ["doc_id", "page"]), _boxes(words), "doc_id", "page")
+    sheets = _pages(spark, sf_dir, _parts(spark, sf_dir))
+    found = pages.page_elements(pages.word_lines(_words(sheets), ["doc_id", "page"]), _boxes(sheets), "doc_id", "page")
     return found.withColumn("text", F.md5("text"))
 
 
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3: tables with headers, cells, captions and elements; the first line of each page is a caption."""
-    words = _words(spark, sf_dir)
-    boxes, (ruled, aligned) = _boxes(words), _cells(words)
-    lines = pages.word_lines(words, ["doc_id", "page"])
+    parts = _parts(spark, sf_dir)
+    sheets = _pages(spark, sf_dir, parts)
+    words = _words(sheets)
+    boxes, (ruled, aligned) = _boxes(sheets), _cells(words)
+    lines = pages.word_lines(words, ["doc_id", "page"], parts=parts)
     told = lines.withColumn("text", F.when(F.col("line") % 5 == 2, F.concat(F.lit("Table 4: "), "text")).otherwise(F.col("text")))
     elements = pages.page_elements(lines, boxes, "doc_id", "page")
     found = pages.page_tables(ruled, aligned, boxes, elements, told, "doc_id", "page")

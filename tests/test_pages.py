@@ -44,3 +44,23 @@ def test_second_strategy_only_where_the_first_found_nothing(spark):
     got = sorted((r.page, r.seq, r.table_id, r.headers, r.rows, r.caption, r.element_id) for r in pages.page_tables(ruled, aligned, boxes, elements, lines, "doc", "page").collect())
     # page 1 has a ruled table, which is too small, so nothing there
     assert got == [(2, 0, "1_p2_t0", ["Column_1", "a b"], [["x", "y"]], None, None), (3, 1, "1_p3_t1", ["Column_1", "a b"], [["x", "y"]], "Table 1: x", "e1")]
+
+
+def test_words_dealt_by_page_stay_where_they_are(spark):
+    rows = [word(k, f"w{k}", 10.0 * (k % 7), 3.0 * (k % 11), doc=k % 3, page=k % 5) for k in range(200)]
+    dealt = spark.createDataFrame(rows, WORDS).repartition(3, "doc", "page")
+    lines = pages.word_lines(dealt, ["doc", "page"])
+    boxes = dealt.select("doc", "page").distinct().selectExpr("*", "5.0D AS x0", "9.0D AS y0", "20.0D AS x1", "20.0D AS y1")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(lines).count("Exchange") == 1
+    free = pages.outside_boxes(lines, boxes, ["doc", "page"])
+    assert plan(free).count("Exchange") == 3  # lines move once to meet boxes, which stay
+    shared = pages.word_lines(dealt, ["doc", "page"], parts=3)
+    assert plan(pages.outside_boxes(shared, boxes, ["doc", "page"])).count("Exchange") == 3 and sorted(shared.collect()) == sorted(lines.collect())
+    assert 0 < free.count() < lines.count()
+
+
+def test_words_of_one_place_go_by_text_and_nulls_first(spark):
+    rows = [word(1, "b", 5.0, 1.0), word(1, "a", 5.0, 1.0), word(0, "c", None, 1.0), word(None, "d", 5.0, 1.0), word(2, None, None, 90.0, None), word(3, "x", 1.0, float("nan")), word(4, "y", 2.0, float("nan"))]
+    got = [(r.line, r.text, r.x0, r.x1, r.font) for r in pages.word_lines(spark.createDataFrame(rows, WORDS), ["doc", "page"]).orderBy("line").collect()]
+    assert got == [(0, "c d a b", 5.0, 15.0, 10.0), (1, "", None, None, 10.0), (2, "x y", 1.0, 12.0, 10.0)]
